@@ -4,13 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _residue(column: str, modulus: int) -> Column:
+    """crc32 of the id as text, modulo."""
+    return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
+
+
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held = F.coalesce(_residue("doc_id", 3) == 1, F.lit(False))
+    return identify(docs.select("doc_id", held.alias("held_out"), "text"), docs.where(~held), carry=["doc_id", "held_out"])
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,7 +53,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_bpe": op5_bpe, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
+    return {"op4_language": op4_language, "op5_bpe": op5_bpe, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -33,6 +33,16 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fit, score
+
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = fit(docs, labels.where(_residue("doc_id", 5) != 0))
+    held = F.coalesce(_residue("doc_id", 5) == 0, F.lit(False))
+    out = score(docs.select("doc_id", held.alias("held_out"), "text"), model, carry=["doc_id", "held_out"])
+    return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .decontam import find_benchmark
 
@@ -53,7 +63,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_language": op4_language, "op5_bpe": op5_bpe, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
+    return {"op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

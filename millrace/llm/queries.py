@@ -17,6 +17,14 @@ def _residue(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lmscore import fit, score
+
+    docs = _table(spark, sf_dir, "documents")
+    wanted = _table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return score(docs, fit(docs, wanted), carry=["doc_id"])
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -63,7 +71,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
+    return {"op2_lm_scoring": op2_lm_scoring, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -15,6 +15,7 @@ of toxic labels (0 without labels). Rows are independent; an empty table gives a
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import types as T
 
 from .common import Memo, alnum_words, annotate, slices, texts
 
-TRAIN_DOCS = 8000
+TRAIN_DOCS = 5000
 ROWS = 1 << 20
 DIMS = 4
 EPOCHS = 60
@@ -94,23 +95,33 @@ def train(words: list[bytes], doc_words: np.ndarray, doc_counts: np.ndarray, siz
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(ROWS, np.float32), np.inf if share == 1 else -np.inf)
     rng = np.random.default_rng(seed)
-    bags = [subwords(w) for w in words]
-    bag_sizes = np.array([len(x) for x in bags])
-    flat = np.concatenate([np.array(x, np.int64) for x in bags]) if bags else np.zeros(0, np.int64)
+    flat, bag_sizes = array("I"), np.empty(len(words), np.int64)
+    for k, word in enumerate(words):
+        rows = subwords(word)
+        flat.extend(rows)
+        bag_sizes[k] = len(rows)
+    flat = np.frombuffer(flat, np.uint32)
     # Only rows that are clearly more frequent in one class are learned; the many others would only be learned by heart.
     toxic = np.bincount(doc_words, weights=np.repeat(labels, sizes), minlength=len(words))
     seen = np.bincount(doc_words, minlength=len(words)).astype(np.float64)
     in_toxic, in_all = (np.bincount(flat, weights=np.repeat(x, bag_sizes), minlength=ROWS) for x in (toxic, seen))
     expected = in_all * (toxic.sum() / max(seen.sum(), 1))
     often = (in_all >= MIN_SEEN) & (np.abs(in_toxic - expected) >= MIN_SIGMA * np.sqrt(np.maximum(expected, 0.5)))
-    share = np.repeat(1 / np.maximum(bag_sizes, 1), bag_sizes).astype(np.float32)
     kept = often[flat]
-    bag_sizes = np.bincount(np.repeat(np.arange(len(words)), bag_sizes)[kept], minlength=len(words))
+    share = np.repeat((1 / np.maximum(bag_sizes, 1)).astype(np.float32), bag_sizes)[kept]
+    bag_sizes = np.bincount(np.repeat(np.arange(len(words), dtype=np.int32), bag_sizes)[kept], minlength=len(words))
     used, flat = np.unique(flat[kept], return_inverse=True)
-    to_word = Sums(flat, bag_sizes, len(used), share[kept])
+    # Words without such a row add nothing to an average but count in it.
+    worth = np.flatnonzero(bag_sizes)
+    to_word = Sums(flat, bag_sizes[worth], len(used), share)
     total = np.zeros(len(sizes))
     np.add.at(total, np.repeat(np.arange(len(sizes)), sizes), doc_counts)
-    to_doc = Sums(doc_words, sizes, len(words), (GAIN * doc_counts / np.repeat(np.maximum(total, 1), sizes)).astype(np.float32))
+    weight = (GAIN * doc_counts / np.repeat(np.maximum(total, 1), sizes)).astype(np.float32)
+    place = np.full(len(words), -1, np.int64)
+    place[worth] = np.arange(len(worth))
+    there = place[doc_words] >= 0
+    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[there], minlength=len(sizes))
+    to_doc = Sums(place[doc_words[there]], sizes, len(worth), weight[there])
     params = [rng.normal(0, 0.05, (len(used), DIMS)).astype(np.float32), rng.normal(0, 0.5, (DIMS, 2)).astype(np.float32), np.log(np.bincount(labels, minlength=2) / len(labels)).astype(np.float32)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     target = np.eye(2, dtype=np.float32)[labels]

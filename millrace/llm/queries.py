@@ -17,6 +17,12 @@ def _residue(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_groups
+
+    return jaccard_groups(_table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lmscore import fit, score
 
@@ -71,7 +77,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_lm_scoring": op2_lm_scoring, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

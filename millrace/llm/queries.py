@@ -31,6 +31,12 @@ def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, fit(docs, wanted), carry=["doc_id"])
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substrings import repeated_substrings
+
+    return repeated_substrings(_table(spark, sf_dir, "documents")).drop("removed")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .langid import identify
 
@@ -77,7 +83,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_substring_dedup": op3_substring_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -185,16 +185,18 @@ def tokenizer_of(spec: str) -> Tokenizer:
     return _built[key]
 
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: bool = True) -> DataFrame:
-    """One row per document: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and, with ``keep``, ``ids`` and ``decoded``.
+def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per document: id, ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` and those of ``ids`` and ``decoded`` that ``keep`` names.
 
     The tokenizer file has a fixed size and goes to the executors as a broadcast value. Nothing is shuffled.
     """
     with open(tokenizer_path, encoding="utf-8") as f:
         spec = docs.sparkSession.sparkContext.broadcast(f.read())
     schema = T.StructType([docs.schema[id_col], *(T.StructField(*x) for x in (("n_tokens", T.LongType()), ("ids_sha256", T.StringType()), ("decoded_sha256", T.StringType())))])
-    if keep:
-        schema = schema.add("ids", T.ArrayType(T.LongType(), False)).add("decoded", T.StringType())
+    if "ids" in keep:
+        schema = schema.add("ids", T.ArrayType(T.IntegerType(), False))
+    if "decoded" in keep:
+        schema = schema.add("decoded", T.StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer_of(spec.value)
@@ -205,12 +207,15 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
                 n.append(len(raw) // 4)
                 a.append(hashlib.sha256(raw).hexdigest())
                 b.append(hashlib.sha256(text.encode()).hexdigest())
-                if keep:
-                    ids.append(np.frombuffer(raw, "<u4").astype(np.int64))
+                if "ids" in keep:
+                    ids.append(np.frombuffer(raw, "<i4"))
+                if "decoded" in keep:
                     texts.append(text)
             out = [batch.column(id_col), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            if keep:
-                out += [pa.array(ids, pa.list_(pa.int64())), pa.array(texts, pa.string())]
+            if "ids" in keep:
+                out.append(pa.array(ids, pa.list_(pa.int32())))
+            if "decoded" in keep:
+                out.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

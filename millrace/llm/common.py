@@ -176,3 +176,13 @@ def annotate(docs: DataFrame, text_col: str, fields: list[tuple[str, object]], m
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
     return source.mapInArrow(run, schema)
+
+
+def with_plain_names(docs: DataFrame, column: str, fn) -> DataFrame:
+    """``fn`` of the documents under names that can't clash with those it adds; of its result, the documents' own columns under their names.
+
+    ``fn`` gets the frame and the new name of ``column``.
+    """
+    plain = {c: f"__c{k}" for k, c in enumerate(docs.columns)}
+    out = fn(docs.select(*[F.col(f"`{c}`").alias(x) for c, x in plain.items()]), plain[column])
+    return out.select(*[F.col(x).alias(c) for c, x in plain.items()])

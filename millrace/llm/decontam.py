@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, annotate
+from .common import alnum_words, annotate, with_plain_names
 
 WINDOW = 13
 #: Bytes of benchmark text in a block.
@@ -161,3 +161,8 @@ def _worker(shared, window: int, before: bool):
         return cols
 
     return work
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents that are not contaminated, column for column."""
+    return with_plain_names(docs, text_col, lambda d, text: find_benchmark(d, benchmark, text, item_col, item_text, window).where(~F.col("contaminated")))

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import annotate
+from .common import annotate, with_plain_names
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -241,12 +241,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", carry: list[str] | None =
 def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents, column for column, with personal data masked; ``n_chars``, if there, follows the new text."""
     cols = docs.columns
-    if {"__text", *(n for n, _ in FIELDS)} & {c.lower() for c in cols}:  # clashing names: move them out of the way
-        safe = {c: f"__c{k}" for k, c in enumerate(cols)}
-        out = redact(docs.select(*[F.col(f"`{c}`").alias(safe[c]) for c in cols]), safe[text_col])
-        out = out.select(*[F.col(safe[c]).alias(c) for c in cols])
-    else:
-        out = find_pii(docs, text_col).withColumn(text_col, F.col("masked")).select(*[F.col(f"`{c}`") for c in cols])
+    out = with_plain_names(docs, text_col, lambda d, text: find_pii(d, text).withColumn(text, F.col("masked")))
     if "n_chars" in cols:
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length(F.col(f"`{text_col}`"))).cast(docs.schema["n_chars"].dataType))
     return out

@@ -50,7 +50,7 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     from .bpe import encode_documents
 
-    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=False)
+    return encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), keep=())
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,6 +70,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embeddings import near_vectors
+
+    return near_vectors(_table(spark, sf_dir, "embeddings"), least=0.93)
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pii import find_pii
 
@@ -83,7 +89,7 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_substring_dedup": op3_substring_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
+    return {"op1_ngram_jaccard": op1_ngram_jaccard, "op2_lm_scoring": op2_lm_scoring, "op3_substring_dedup": op3_substring_dedup, "op4_language": op4_language, "op5_bpe": op5_bpe, "op6_toxicity": op6_toxicity, "op7_decontamination": op7_decontamination, "op8_embeddings": op8_embeddings, "op9_pii": op9_pii, "op10_licenses": op10_licenses}
 
 
 def oracle_sql() -> dict[str, str]:

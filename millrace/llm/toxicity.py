@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, alnum_words, annotate, slices, texts
+from .common import Memo, alnum_words, annotate, slices, texts, with_plain_names
 
 TRAIN_DOCS = 5000
 ROWS = 1 << 20
@@ -190,4 +190,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The documents whose score is below the threshold, column for column."""
-    return score(docs, model, text_col, "__toxic").where(F.col("__toxic") < threshold).drop("__toxic")
+    return with_plain_names(docs, text_col, lambda d, text: score(d, model, text).where(F.col("score") < threshold))

@@ -9,13 +9,13 @@ so far. So the strings are not the documents but the places where a repeat can b
 1. Documents whose text is also that of an earlier one are repeats as a whole.
 2. Each window of ``length`` bytes has an anchor, the one of its runs of ``GRAM`` bytes with the least
    hash. Equal windows have equal anchors at equal places, so only anchors that occur twice can matter.
-3. Around each such anchor a string is cut that holds every window with this anchor. The strings of one
+3. Around each such anchor stands a string that holds every window with this anchor. Of strings that are
+   equal as a whole (by two 64-bit hashes) all but the first are repeats. The different strings of one
    anchor, aligned at it, are a collection: a round inserts one column. Windows are equal if their suffixes
    are neighbours with common prefixes of ``length``; all but the first window of such a class are repeats.
 
-A collection has at most ``GROUP`` strings, so a task's memory is bounded. A larger one is first reduced
-to its different strings, and if still too large, its windows are grouped by their own digests (sums
-combined map-side, and a join of stored tables that Spark can split).
+A collection has at most ``GROUP`` strings, so a task's memory is bounded. The windows of a larger one are
+grouped by their own digests (sums combined map-side, and a join of stored tables that Spark can split).
 
 Matches never cross documents. Null and empty texts have no bytes. Ids are taken to be unique: of rows
 that repeat an id with the same text each has the result that one of them would have, and if the texts differ,
@@ -40,7 +40,7 @@ from .common import bounded, mix64, release, slices, stash, texts, unstash
 #: Bytes of a repeat, and of the run that anchors it.
 LENGTH, GRAM = 100, 32
 #: Strings of a collection at most; strings and bytes that a task works on at a time.
-GROUP, BLOCK, CHUNK = 2000, 150_000, 1 << 20
+GROUP, BLOCK, CHUNK = 2000, 40_000, 1 << 18
 BROADCAST_IDS = 500_000
 
 
@@ -114,6 +114,9 @@ def columnwise(strings: np.ndarray, group: np.ndarray, first: np.ndarray, last:
     return repeats
 
 
+_digest = xxhash.xxh3_64_intdigest
+
+
 def _runs(repeats: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, first column, last column) of the runs of true values."""
     edge = np.diff(np.pad(repeats, ((0, 0), (1, 1))).astype(np.int8), axis=1)
@@ -144,38 +147,40 @@ class Substrings:
         return self.docs.mapInArrow(run, schema)
 
     def anchor_rows(self, docs: DataFrame) -> DataFrame:
-        length, gram = self.length, self.gram
-        schema = self._schema(("place", T.IntegerType()), ("h", T.LongType()))
+        """Each anchor with the size and a digest of the string around it: ``side`` bytes in front and ``length`` from its place on, as far as there are any."""
+        length, gram, side = self.length, self.gram, self.side
+        schema = self._schema(("place", T.IntegerType()), ("h", T.LongType()), ("size", T.IntegerType()), ("digest", T.LongType()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, "text", 4 << 20):
                 t = texts(batch, "text")
                 ends = np.cumsum([len(x) for x in t])
-                at, h = anchors(np.frombuffer(b"".join(t), np.uint8), ends, length, gram)
+                data = b"".join(t)
+                at, h = anchors(np.frombuffer(data, np.uint8), ends, length, gram)
                 doc = np.searchsorted(ends, at, "right")
-                starts = np.r_[0, ends[:-1]]
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array((at - starts[doc]).astype(np.int32)), pa.array(h.view(np.int64))], names=schema.names)
+                place = at - np.r_[0, ends[:-1]][doc]
+                low, high = at - np.minimum(place, side), np.minimum(at + length, ends[doc])
+                # The digest is seeded with where the anchor is in the string.
+                digest = np.fromiter((_digest(data[a:b], p - a) for a, b, p in zip(low.tolist(), high.tolist(), at.tolist(), strict=True)), np.uint64, len(at))
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), pa.array(place.astype(np.int32)), pa.array(h.view(np.int64)), pa.array((high - low).astype(np.int32)), pa.array(digest.view(np.int64))], names=schema.names)
 
         return docs.mapInArrow(run, schema)
 
-    def strings(self, docs: DataFrame, places: DataFrame) -> DataFrame:
-        """The string around each anchor: ``before`` bytes in front of the anchor, ``body``, and a digest of both."""
+    def strings(self, places: DataFrame) -> DataFrame:
+        """The bytes of the strings around anchors."""
         length, side = self.length, self.side
-        by_doc = places.groupBy("id").agg(F.collect_list(F.struct("place", "h", "k")).alias("places"))
-        joined = docs.join(by_doc, "id").select("id", "places", "text")
-        schema = self._schema(("place", T.IntegerType()), ("h", T.LongType()), ("k", T.LongType()), ("before", T.IntegerType()), ("body", T.BinaryType()), ("digest", T.LongType()))
+        by_doc = places.groupBy("id").agg(F.collect_list(F.struct("place", "h", "digest")).alias("places"))
+        joined = self.docs.join(by_doc, "id").select("id", "places", "text")
+        schema = self._schema(("place", T.IntegerType()), ("h", T.LongType()), ("digest", T.LongType()), ("before", T.IntegerType()), ("body", T.BinaryType()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "text", 4 << 20):
+            for batch in slices(batches, "text", 1 << 20):
                 lists = batch.column("places")
                 flat = lists.flatten()
                 doc = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-                place = flat.field("place").to_numpy()
-                body, before, digest, t = [], np.minimum(place, side), np.empty(len(place), np.uint64), texts(batch, "text")
-                for i, (d, p) in enumerate(zip(doc.tolist(), place.tolist(), strict=True)):
-                    body.append(x := t[d][max(0, p - side) : p + length])
-                    digest[i] = xxhash.xxh3_64_intdigest(x, int(before[i]))
-                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), flat.field("place"), flat.field("h"), flat.field("k"), pa.array(before.astype(np.int32)), pa.array(body, pa.binary()), pa.array(digest.view(np.int64))], names=schema.names)
+                place, t = flat.field("place").to_numpy(), texts(batch, "text")
+                body = [t[d][max(0, p - side) : p + length] for d, p in zip(doc.tolist(), place.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(doc)), flat.field("place"), flat.field("h"), flat.field("digest"), pa.array(np.minimum(place, side).astype(np.int32)), pa.array(body, pa.binary())], names=schema.names)
 
         return joined.mapInArrow(run, schema)
 
@@ -188,7 +193,7 @@ class Substrings:
         def block(rows: pa.Table) -> pa.RecordBatch:
             n = rows.num_rows
             bodies, before, place = rows.column("body").to_pylist(), rows.column("before").to_numpy(), rows.column("place").to_numpy().astype(np.int64)
-            h, digest = rows.column("h").to_numpy(), rows.column("digest").to_numpy()
+            h = rows.column("h").to_numpy()
             sizes = np.fromiter(map(len, bodies), np.int64, n)
             matrix = np.zeros((n, width), np.uint8)
             flat = np.frombuffer(b"".join(bodies), np.uint8)
@@ -196,21 +201,7 @@ class Substrings:
             matrix[row, np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + (side - before)[row]] = flat
             first, last = side - before.astype(np.int64), side - before + sizes - length
             group = np.cumsum(np.r_[0, h[1:] != h[:-1]])
-            # Strings that are equal as a whole repeat in all their windows; one of them, the first, goes on.
-            by = np.lexsort((digest, group))
-            head = np.flatnonzero(np.r_[True, (digest[by[1:]] != digest[by[:-1]]) | (group[by[1:]] != group[by[:-1]])])
-            chief = np.empty(n, np.int64)
-            chief[by] = np.repeat(np.minimum.reduceat(by, head), np.diff(np.append(head, n)))
-            whole = (chief < np.arange(n)) & (first == first[chief]) & (last == last[chief]) & (matrix == matrix[chief]).all(axis=1)
-            rest = np.flatnonzero(~whole)
-            many = np.bincount(group[rest], minlength=group[-1] + 1) > 1
-            rest = rest[many[group[rest]]]
-            w = np.flatnonzero(whole & (last >= first))
-            out = [(w, first[w], last[w])]
-            if len(rest):
-                r, a, b = _runs(columnwise(matrix[rest], group[rest], first[rest], last[rest], length))
-                out.append((rest[r], a, b))
-            r, a, b = (np.concatenate(x) for x in zip(*out, strict=True))
+            r, a, b = _runs(columnwise(matrix, group, first, last, length))
             return pa.RecordBatch.from_arrays([rows.column("id").combine_chunks().take(pa.array(r)), pa.array((place[r] - side + a).astype(np.int32)), pa.array((place[r] - side + b + length).astype(np.int32))], names=schema.names)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,7 +229,7 @@ class Substrings:
         schema = self._schema(("start", T.IntegerType()), ("digest", T.BinaryType()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, "body", 1 << 20):
+            for batch in slices(batches, "body", 1 << 18):
                 doc, start, digest = [], [], []
                 for i, (body, place) in enumerate(zip(batch.column("body").to_pylist(), batch.column("place").to_pylist(), strict=True)):
                     for j in range(len(body) - length + 1):
@@ -253,29 +244,27 @@ class Substrings:
 
     def spans(self, docs: DataFrame) -> DataFrame:
         found = stash(self.anchor_rows(docs), "anchors")
-        twice = stash(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "twice")
+        twice = stash(found.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "twice")
         release(self.spark)
-        places = stash(found.join(twice, "h").select("id", "place", "h", "k"), "places")
+        places = stash(found.join(twice.hint("shuffle_hash"), "h"), "places")
         unstash(found)
         release(self.spark)
-        strings = stash(self.strings(docs, places), "strings")
+        # Of strings that are equal as a whole the first goes on, the others repeat in all their windows.
+        chief = stash(places.groupBy("h", "digest").agg(F.min(F.struct("id", "place")).alias("f"), F.count("*").alias("k")), "chief")
+        start = F.col("place") - F.least("place", F.lit(self.side))
+        whole = places.where(F.col("size") >= self.length).join(chief.where("k > 1").drop("k").hint("shuffle_hash"), ["h", "digest"]).where(F.struct("id", "place") > F.col("f"))
+        parts = [stash(whole.select("id", start.cast("int").alias("start"), (start + F.col("size")).cast("int").alias("end")), "whole")]
+        unstash(places)
+        release(self.spark)
+        # Different strings with one anchor are compared.
+        left = stash(chief.groupBy("h").agg(F.count("*").alias("left")).where("left > 1"), "left")
+        chiefs = stash(chief.join(left, "h").select("h", "digest", "left", "f.id", "f.place"), "chiefs")
+        small, large = chiefs.where(F.col("left") <= GROUP), chiefs.where(F.col("left") > GROUP)
+        strings = stash(self.strings(small), "strings")
         release(self.spark)
-        large = strings.where(F.col("k") > GROUP)
-        small = strings.where(F.col("k") <= GROUP)
-        parts = []
+        parts.append(self.collections(strings))
         if not large.isEmpty():
-            # Different strings of large collections; the others repeat as a whole.
-            chief = stash(large.groupBy("h", "before", "digest").agg(F.min(F.struct("id", "place")).alias("f")), "chief")
-            compared = stash(large.join(chief, ["h", "before", "digest"]), "compared")
-            repeat = compared.where((F.struct("id", "place") > F.col("f")) & (F.octet_length("body") >= self.length))
-            start = F.col("place") - F.col("before")
-            parts.append(repeat.select("id", start.cast("int").alias("start"), (start + F.octet_length("body")).cast("int").alias("end")))
-            chiefs = compared.where(F.struct("id", "place") == F.col("f")).drop("f")
-            size = stash(chiefs.groupBy("h").agg(F.count("*").alias("left")).where("left > 1"), "sizes")
-            chiefs = stash(chiefs.join(size, "h"), "chiefs")
-            small = small.unionByName(chiefs.where(F.col("left") <= GROUP).drop("left"))
-            parts.append(self.windows(chiefs.where(F.col("left") > GROUP)))
-        parts.append(self.collections(small))
+            parts.append(self.windows(stash(self.strings(large), "strings")))
         out = parts[0]
         for p in parts[1:]:
             out = out.unionByName(p)
@@ -292,7 +281,7 @@ class Substrings:
         spans = stash(spans, "spans")
         release(self.spark)
         # Only documents with a repeat in part are read again.
-        partly = self.docs.join(bounded(spans, BROADCAST_IDS), "id")
+        partly = self.docs.join(spans, "id")
         schema = self._schema(("n_removed", T.LongType()), ("n_spans", T.LongType()), ("kept_sha", T.StringType()), ("key", T.BinaryType()), ("removed", T.ArrayType(T.IntegerType(), False)))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,15 +39,18 @@ class Automaton:
         self.token_of = vocab
         self.longest = max((len(x) for x in vocab), default=1)
         size = max(vocab.values(), default=0) + 1
-        #: By token: the state it leads to, the token it starts with and the merge that made it.
+        #: By token: the state it leads to, its halves and the merge that made it.
         self.state = np.zeros(size, np.int32)
         self.head = np.full(size, -1, np.int32)
+        self.tail = np.full(size, -1, np.int32)
         self.made = np.full(size, -1, np.int64)
         #: By state: the transition it lost, when, and the state it was split from.
         self.lost, self.when, self.before = [-1], [NEVER], [-1]
         for rank, (a, b) in enumerate(merges):
             self.gadget(rank, vocab[a], vocab[b], vocab[a + b])
-        self.state, self.head, self.made = self.state.tolist(), self.head.tolist(), self.made.tolist()
+        self.state, self.head, self.tail, self.made = self.state.tolist(), self.head.tolist(), self.tail.tolist(), self.made.tolist()
+        self.base = {i for t, i in vocab.items() if len(t.removesuffix(suffix) if suffix else t) == 1}
+        self.reached: dict[int, bool] = {}
         self.table: dict[int, bool] = {}
         self.gone: dict[int, dict[int, int]] = {}
         self.words = Memo(self.encode_word, 200_000)
@@ -59,7 +62,7 @@ class Automaton:
         self.before.append(int(self.state[a]))
         self.state[a] = len(self.lost) - 1
         if self.made[c] < 0:
-            self.state[c], self.head[c], self.made[c] = reached, a, rank
+            self.state[c], self.head[c], self.tail[c], self.made[c] = reached, a, b, rank
 
     def lacks(self, state: int) -> dict[int, int]:
         """The transitions that a state has lost, each with the first merge that took it."""
@@ -87,6 +90,23 @@ class Automaton:
             self.table[key] = found
         return found
 
+    def is_reached(self, token: int) -> bool:
+        """Whether the merges ever make the token: whether its halves could follow each other when their merge came."""
+        made = self.made[token]
+        if made < 0:
+            return token in self.base
+        found = self.reached.get(token)
+        if found is None:
+            a, b = self.head[token], self.tail[token]
+            found = self.is_reached(a) and self.is_reached(b)
+            lacks, until, at = self.lacks(self.state[a]), NEVER, b
+            while at >= 0 and found:
+                lost = lacks.get(at, NEVER)
+                found = lost >= made or lost > until
+                until, at = self.made[at], self.head[at]
+            self.reached[token] = found
+        return found
+
     def path(self, symbols: str) -> list[int]:
         """The token sequence of a word in the symbols of the vocabulary."""
         n, token_of, longest = len(symbols), self.token_of, self.longest
@@ -96,7 +116,7 @@ class Automaton:
             tail = self.suffix if end == n else ""
             for begin in range(max(0, end - longest), end):
                 token = token_of.get(symbols[begin:end] + tail)
-                if token is not None and (self.made[token] >= 0 or end - begin == 1) and (begin == 0 or last[begin] >= 0 and self.allowed(last[begin], token)):
+                if token is not None and self.is_reached(token) and (begin == 0 or last[begin] >= 0 and self.allowed(last[begin], token)):
                     last[end], start[end] = token, begin
                     break
         out, at = [], n

@@ -21,7 +21,12 @@ for _i in range(128):
 ALNUM_TABLE = bytes(_alnum)
 
 #: Bytes of text that one slice of an Arrow batch may hold while it is worked on.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Rows of an Arrow batch; with long texts the default of Spark takes much memory on both sides.
+BATCH_ROWS = 2000
+
+#: Nodes up to which a round's lowest neighbours are broadcast.
+BROADCAST_NODES = 300_000
 
 
 def alnum_words(data: bytes) -> list[bytes]:
@@ -92,6 +97,7 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: its lineage ends there, and a lost executor loses nothing."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -99,6 +105,10 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def unstash(df: DataFrame) -> None:
     """Deletes a stashed table that nothing reads any more."""
     path = getattr(df, "stash_path", None)
@@ -120,34 +130,41 @@ def bounded(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if few else df
 
 
+def few(table: DataFrame, rows: int) -> DataFrame:
+    """Marks a stored table for broadcasting if it has at most ``rows`` rows; its count is in its files' footers."""
+    return F.broadcast(table) if table.count() <= rows else table
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in ``links``: the smallest id that it reaches.
 
-    Alternates large-star and small-star steps. A step is an aggregation (combined map-side) and an
-    equi-join that Spark can split where one id has very many links. Every round's edges are a table in
-    the shared folder. Null ends are left out; an empty table gives an empty table.
+    In a round every id goes over to the smallest one among itself and its neighbours, and from there twice to
+    where that one goes; links between ids that are one now are dropped, and the others join what the ids have become. The
+    smallest id of a component never changes, so in the end all have become it. A round costs one sum, combined map-side, and
+    equi-joins of stored tables. Null ends are left out; an empty table gives an empty table.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = stash(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    mark = None
+    moves: list[DataFrame] = []
     for _ in range(max_rounds):
+        if moves and edges.isEmpty():
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = stash(large, "edges")
-        low = stash(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").where("u <> v").distinct()
-        new = stash(small, "edges")
+        low = few(stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low"), BROADCAST_NODES)
+        step = low.select(F.col("u").alias("m"), F.col("m").alias("n"))
+        far = low.join(step, "m").select("u", F.col("n").alias("m")).join(step, "m").select("u", F.col("n").alias("m"))
+        far = few(stash(far, "low"), BROADCAST_NODES)
+        moves.append(far)
+        new = edges.join(far, "u").select("v", F.col("m").alias("a")).join(far.withColumnRenamed("u", "v"), "v").select(F.col("a").alias("u"), F.col("m").alias("v")).where("u <> v")
+        new = stash(new, "edges")
         unstash(edges)
         edges = new
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long"))).first()
-        if now == mark:
-            break
-        mark = now
     else:
         raise RuntimeError("components did not settle")
-    out = edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
-    return out.unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+    out = moves[0].select(F.col("u").alias("id"), F.col("m").alias("component"))
+    for more in moves[1:]:
+        out = out.join(more.select(F.col("u").alias("component"), "m"), "component", "left").select("id", F.coalesce("m", "component").alias("component"))
+    return out
 
 
 def annotate(docs: DataFrame, text_col: str, fields: list[tuple[str, object]], make, carry: list[str] | None = None) -> DataFrame:
@@ -158,21 +175,25 @@ def annotate(docs: DataFrame, text_col: str, fields: list[tuple[str, object]], m
     """
     from pyspark.sql import types as T
 
+    small_batches(docs.sparkSession)
     new = {n.lower() for n, _ in fields}
     keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias("__text"))
+    text = "__text"
+    while text in {c.lower() for c in keep}:
+        text += "_"
+    source = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").cast("string").alias(text))
     schema = T.StructType([*(source.schema[c] for c in keep), *(T.StructField(n, t) for n, t in fields)])
     names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         kinds = None
-        for batch in slices(batches, "__text"):
+        for batch in slices(batches, text):
             if kinds is None:
                 from pyspark.sql.pandas.types import to_arrow_type
 
                 kinds = [to_arrow_type(t) for _, t in fields]
-            out = work(texts(batch, "__text"), batch.column("__text").is_valid())
+            out = work(texts(batch, text), batch.column(text).is_valid())
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in range(len(keep))] + [x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=names)
 
     return source.mapInArrow(run, schema)

@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -191,6 +192,11 @@ class Substrings:
         schema = self._schema(("start", T.IntegerType()), ("end", T.IntegerType()))
 
         def block(rows: pa.Table) -> pa.RecordBatch:
+            ids = rows.column("id").combine_chunks()
+            again = pc.and_(*(pc.equal(x.slice(1), x.slice(0, len(x) - 1)) for x in (ids, rows.column("digest").combine_chunks()))) if rows.num_rows > 1 else pa.array([], pa.bool_())
+            h, place = rows.column("h").to_numpy(), rows.column("place").to_numpy()
+            same = again.to_numpy(zero_copy_only=False) & (h[1:] == h[:-1]) & (place[1:] == place[:-1])
+            rows = rows.filter(pa.array(np.r_[True, ~same]))  # one string for rows that repeat an id and text
             n = rows.num_rows
             bodies, before, place = rows.column("body").to_pylist(), rows.column("before").to_numpy(), rows.column("place").to_numpy().astype(np.int64)
             h = rows.column("h").to_numpy()
@@ -221,7 +227,7 @@ class Substrings:
             if size:
                 yield block(pa.Table.from_batches(held).combine_chunks())
 
-        return strings.repartition("h").sortWithinPartitions("h", "id", "place").mapInArrow(run, schema)
+        return strings.repartition("h").sortWithinPartitions("h", "id", "place", "digest").mapInArrow(run, schema)
 
     def windows(self, strings: DataFrame) -> DataFrame:
         """(id, start, end) of repeats, whatever the size of a collection: every window by its own digest."""

@@ -181,7 +181,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
                 found = list(map(words.__getitem__, alnum_words(text)))
                 out[k] = sum(found) / len(found) if found else 0.0
             words.trim()
-            return [pa.array(1 / (1 + np.exp(-np.clip(out + model.bias, -700, 700))))]
+            with np.errstate(over="ignore"):
+                return [pa.array(1 / (1 + np.exp(-(out + model.bias))))]
 
         return work
 

@@ -8,9 +8,9 @@ c(n, m) = ceil(percent * (n + m) / (100 + percent)) elements for sizes n and m.
   Two sets of sizes n and m link exactly when they list a common subset for n + m.
 * Heavy sets, and light ones large enough to be their partners, go into inverted lists. Elements are
   ordered from rare to frequent; linked sets share an element among the first n - c + 1, so only those
-  have list entries. Lists are scanned from a hub: a list's members are compared with one of them, links
+  have list entries. Lists are scanned from hubs: a list's members are compared with a few of them, links
   are contracted to components, and only lists that still hold several components are scanned again,
-  from another hub, in the end pair by pair. No list of like documents is ever expanded to all its pairs.
+  from other and more hubs, in the end pair by pair, where only pairs of different components meet.
 * The boundary is where the sum of both costs over the sizes that occur is least.
 
 Every link is verified with the whole sets. Element frequencies come from a table of counts of fixed size
@@ -32,19 +32,24 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, annotate, bounded, connected_components, mix64, release, slices, space_words, stash, texts, unstash
+from .common import Memo, annotate, bounded, connected_components, few, mix64, release, slices, space_words, stash, texts, unstash
 
 #: Cells of the table of element counts.
-CELLS = 1 << 18
+CELLS = 1 << 20
 #: Rows up to which a list of ids is broadcast; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: What an entry of an inverted list costs, in subset entries: it is counted, joined and verified.
 ENTRY_COST = 4
-#: Scans from hubs before lists are scanned pair by pair.
-HUB_SCANS = 6
+#: Scans from hubs before lists are scanned pair by pair; and, by scan, comparisons of a set and hubs of a list, about.
+HUB_SCANS, HUBS = 3, [(2, 2), (8, 16), (32, 64)]
+#: Pairs of different components, per list entry, at which lists are scanned pair by pair.
+PAIRS_PER_ENTRY = 4
+#: List entries beyond those that a common element must be among; they tell apart sets with little in common.
+MORE_ENTRIES = 4
 
 
 def shared_least(n: int, m: int, percent: int) -> int:
@@ -77,19 +82,20 @@ def choose_boundary(sizes: dict[int, int], percent: int, most: int = 40) -> int:
     return min(range(1, most + 1), key=cost)
 
 
-def element_sets(batch: list[bytes], n: int, hash_of: Memo) -> list[np.ndarray]:
+def element_sets(batch: list[bytes], n: int) -> list[np.ndarray]:
     """Sorted distinct hashes of the word n-grams of each text."""
     out = []
     for text in batch:
         words = space_words(text)
-        ids = np.fromiter(map(hash_of.__getitem__, words), np.uint64, len(words))
+        ids = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         k = min(n, len(ids))
         size = len(ids) - k + 1 if k else 0
         h = np.full(size, k, np.uint64)
         for i in range(k):
             h = h * np.uint64(0x9E3779B97F4A7C15) + ids[i : i + size]
-        out.append(np.unique(mix64(h)))
-    hash_of.trim()
+        h = mix64(h)
+        h.sort()
+        out.append(h[np.r_[True, h[1:] != h[:-1]]] if size else h)
     return out
 
 
@@ -113,9 +119,9 @@ class Join:
         schema = T.StructType([T.StructField("id", id_type), T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("cell", T.IntegerType()), T.StructField("count", T.LongType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hash_of, counts, kind = Memo(xxhash.xxh3_64_intdigest), np.zeros(CELLS, np.int64), None
+            counts, kind = np.zeros(CELLS, np.int64), None
             for batch in slices(batches, "text"):
-                sets = element_sets(texts(batch, "text"), n, hash_of)
+                sets = element_sets(texts(batch, "text"), n)
                 kind = batch.column("id").type
                 if sets:
                     counts += np.bincount(_cell(np.concatenate(sets)), minlength=CELLS)
@@ -133,7 +139,7 @@ class Join:
         schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("node", self.id_type), T.StructField("n", T.IntegerType()), T.StructField("place", T.IntegerType()), T.StructField("total", T.IntegerType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hash_of, counts = Memo(xxhash.xxh3_64_intdigest), shared.value
+            counts = shared.value
             chosen = Memo(lambda k: np.array(list(combinations(range(k[0]), k[1])), np.int64))
             for batch in slices(batches, "text"):
                 parts: list[list[np.ndarray]] = [[] for _ in range(5)]
@@ -142,7 +148,7 @@ class Join:
                     for p, x in zip(parts, (h, doc, size, place, total), strict=True):
                         p.append(x if isinstance(x, np.ndarray) else np.full(len(h), x))
 
-                for doc, own in enumerate(element_sets(texts(batch, "text"), n, hash_of)):
+                for doc, own in enumerate(element_sets(texts(batch, "text"), n)):
                     size = len(own)
                     if 0 < size < boundary:
                         whole = own.sum()
@@ -150,7 +156,7 @@ class Join:
                             left_out = chosen[size, size - c]
                             add(mix64(whole - own[left_out].sum(axis=1, dtype=np.uint64)), doc, size, 0, total)
                     if size and 100 * size >= percent * boundary:
-                        first = np.lexsort((own, counts[_cell(own)]))[: prefix_size(size, percent)]
+                        first = np.lexsort((own, counts[_cell(own)]))[: prefix_size(size, percent) + MORE_ENTRIES]
                         add(own[first], doc, size, np.arange(len(first)), 0)
                 if parts[0]:
                     h, doc, size, place, total = (np.concatenate(p) for p in parts)
@@ -164,16 +170,27 @@ class Join:
         docs = self.docs.withColumnRenamed("id", "node").join(bounded(nodes, BROADCAST_IDS), "node", "left_semi")
 
         def make():
-            hash_of = Memo(xxhash.xxh3_64_intdigest)
-            return lambda batch, _valid: [[x.tobytes() for x in element_sets(batch, n, hash_of)]]
+            return lambda batch, _valid: [[x.tobytes() for x in element_sets(batch, n)]]
 
         return annotate(docs, "text", [("elements", T.BinaryType())], make, ["node"])
 
     # Links
 
-    def verify(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
-        """The pairs (a, b) that link."""
+    def possible(self, pairs: DataFrame, heads: DataFrame) -> DataFrame:
+        """The pairs whose list entries leave room for a link.
+
+        Of two sets, look at the one whose entries end earlier in the order of elements: what both have in common
+        is among both's entries or among that set's elements without an entry.
+        """
+        side = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("hs").alias(f"hs_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        least = self._least("n_a", "n_b")
+        return both.where(F.size(F.array_intersect("hs_a", "hs_b")) + F.greatest("rest_a", "rest_b") >= least).select("a", "b")
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that link, by their whole sets."""
         percent, id_type = self.percent, self.id_type
+        sets = stash(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,7 +206,10 @@ class Join:
                     ok.append(good)
                 yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-        return both.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)]))
+        found = stash(both.mapInArrow(run, T.StructType([T.StructField("a", id_type), T.StructField("b", id_type)])), "links")
+        unstash(sets)
+        release(self.spark)
+        return found
 
     def light_links(self, entries: DataFrame) -> DataFrame:
         """Members of a subset's list for n + m: those of size n all link with those of size m, so hubs of both sizes hold them together."""
@@ -199,46 +219,70 @@ class Join:
         found = light.join(hubs, ["h", "total"]).select(F.explode(F.array(F.when(F.col("n") * 2 <= F.col("total"), F.struct(F.col("high").alias("a"), F.col("node").alias("b"))), F.when(F.col("n") * 2 >= F.col("total"), F.struct(F.col("low").alias("a"), F.col("node").alias("b"))))).alias("p"))
         return found.where("p is not null").select("p.a", "p.b").where("a <> b").distinct()
 
+    def _prefix(self, n: str) -> F.Column:
+        """prefix_size as an expression."""
+        p, low = self.percent, F.ceil(F.col(n) * self.percent / F.lit(100.0) - 1e-9)
+        return F.col(n) - F.ceil((F.col(n) + low) * p / F.lit(100.0 + p) - 1e-9) + 1
+
+    def _least(self, n: str, m: str) -> F.Column:
+        """shared_least as an expression."""
+        return F.ceil((F.col(n) + F.col(m)) * self.percent / F.lit(100.0 + self.percent) - 1e-9)
+
     def _fits(self, a: str, b: str) -> F.Column:
-        """Whether two entries of a list can belong to linked sets of which this is the first common element."""
-        p = self.percent
+        """Whether two entries of a list are among the first n - c + 1 + MORE_ENTRIES of their sets, of which linked sets share 1 + MORE_ENTRIES or c."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-        least = F.ceil((n + m) * p / F.lit(100.0 + p) - 1e-9)
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * p) & (F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place")) >= least)
+        room = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (room >= self._least(f"{a}.n", f"{b}.n") - MORE_ENTRIES)
 
     def heavy_links(self, entries: DataFrame, links: DataFrame) -> DataFrame:
         """Verified links that hold together, with those given, all groups of linked sets."""
         heavy = entries.where("total = 0").drop("total")
-        lists = stash(heavy.groupBy("h").agg(F.count("*").alias("k"), F.min("node").alias("hub")).where("k > 1"), "lists")
-        lists = stash(heavy.join(lists.drop("k"), "h"), "entries")
+        shared = stash(heavy.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "shared")
         release(self.spark)
-        sets = stash(self.sets(lists.select("node").distinct()), "sets")
-        tested = stash(lists.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-        links = stash(links.unionByName(self.verify(tested, sets)), "links")
-        for scan in range(1, HUB_SCANS + 2):
+        rest = F.col("n") - F.least("n", self._prefix("n") + MORE_ENTRIES)
+        tested = None
+        for scan in range(HUB_SCANS + 1):
             release(self.spark)
-            roots = stash(connected_components(links).withColumnRenamed("id", "node"), "roots")
-            rooted = stash(lists.select("h", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"), "rooted")
-            open_lists = stash(rooted.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("k"), F.min(F.xxhash64("root", F.lit(scan))).alias("pick")).where("low <> high").drop("low", "high"), "open")
-            size = open_lists.agg(F.count("*"), F.sum(F.col("k") * F.col("k")), F.sum("k")).first()
-            if not size[0]:
-                break
-            last = scan > HUB_SCANS or size[1] <= 8 * size[2] + 100_000
-            unstash(lists)
-            lists = stash(rooted.join(open_lists.select("h", "pick"), "h"), "entries")
+            tries, hubs = HUBS[min(scan, len(HUBS) - 1)]
+            if not scan:
+                lists, last = stash(heavy.join(shared.hint("shuffle_hash"), "h").withColumn("root", F.col("node")), "lists"), False
+                unstash(entries)
+                n_entries = lists.count()
+                heads = stash(lists.groupBy("node", "n").agg(F.collect_list("h").alias("hs")).withColumn("rest", rest), "heads")
+            else:
+                roots = few(stash(connected_components(links).withColumnRenamed("id", "node"), "roots"), BROADCAST_IDS)
+                rooted = stash(lists.select("h", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"), "rooted")
+                by_root = rooted.groupBy("h", "root").agg(F.count("*").alias("k"))
+                open_lists = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+                open_lists = stash(open_lists.where("roots > 1").select("h", "k", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("cross")), "open")
+                size = open_lists.agg(F.count("*"), F.sum("cross"), F.sum("k")).first()
+                if not size[0]:
+                    break
+                # Pair by pair as soon as the pairs of different components are few for the entries.
+                last = scan == HUB_SCANS or size[1] <= PAIRS_PER_ENTRY * n_entries
+                unstash(lists)
+                lists = stash(rooted.join(open_lists.select("h", "k"), "h"), "lists")
+                unstash(rooted)
             if last:
-                a, b = lists.alias("a"), lists.alias("b")
-                pairs = a.join(b, "h").where((F.col("a.root") < F.col("b.root")) & self._fits("a", "b")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
+                pairs = lists.alias("a").join(lists.alias("b"), "h").where((F.col("a.root") < F.col("b.root")) & self._fits("a", "b"))
             else:
-                hub = stash(lists.where(F.xxhash64("root", F.lit(scan)) == F.col("pick")).groupBy("h").agg(F.min(F.struct("node", "root", "n", "place")).alias("b")).select("h", "b.*"), "hub")
-                pairs = lists.alias("a").join(hub.alias("b"), "h").where((F.col("a.root") != F.col("b.root")) & self._fits("a", "b")).select(F.col("a.node").alias("x"), F.col("b.node").alias("y"))
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            fresh = stash(pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
-            links = stash(links.unionByName(self.verify(fresh, sets)), "links")
-            tested = tested.unionByName(fresh)
+                # About `hubs` members of a list, the same ones wherever they stand; of long lists an eighth is enough, since like sets share many.
+                used = lists.where((F.col("k") <= hubs) | (F.pmod(F.xxhash64("h", F.lit(scan)), F.lit(8)) == 0))
+                hub = used.where(F.pmod(F.xxhash64("node", F.lit(scan)), F.lit(1 << 20)) * F.col("k") < hubs << 20)
+                pairs = used.alias("a").join(hub.alias("b"), "h").where((F.col("a.root") != F.col("b.root")) & self._fits("a", "b"))
+            pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("common"))
+            if last:  # every entry that two sets share has been met
+                pairs = pairs.where(F.col("common") >= F.least(F.lit(MORE_ENTRIES + 1), self._least("n", "m")))
+            pairs = pairs.select("x", "common", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            if not last:  # a few comparisons for each set: with the hubs that it shares most entries with
+                pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy("x").orderBy(F.desc("common"), "a", "b"))).where(F.col("rank") <= tries)
+            fresh = stash(pairs.select("a", "b").distinct(), "pairs")
+            links = stash(links.unionByName(self.verify(stash(self.possible(fresh, heads), "possible"))), "links")
+            tested = fresh if tested is None else tested.unionByName(fresh)
             if last:
                 break
-        unstash(sets)
         return links
 
     def run(self) -> DataFrame:
@@ -247,6 +291,7 @@ class Join:
         cells = profile.where("cell is not null").groupBy("cell").agg(F.sum("count").alias("n")).toArrow()
         counts = np.zeros(CELLS, np.int64)
         counts[cells.column("cell").to_numpy()] = cells.column("n").to_numpy()
+        counts = np.minimum(counts, 2**31 - 1).astype(np.int32)
         nodes = stash(own.where("n > 0").groupBy("key").agg(F.min("id").alias("node"), F.first("n").alias("n")), "nodes")
         sizes = {r.n: r["count"] for r in nodes.where("n < 64").groupBy("n").count().collect()}
         boundary = choose_boundary(sizes, self.percent)
@@ -254,8 +299,7 @@ class Join:
         # A null id has no entries of its own unless its text has no other id, and then it can't be named in a link.
         docs = self.docs.where("id is not null").join(bounded(stash(copies, "copies"), BROADCAST_IDS), "id", "left_anti")
         entries = stash(self.entries(docs, counts, boundary), "entries")
-        self.links = self.heavy_links(entries, self.light_links(entries))
-        unstash(entries)
+        self.links = self.heavy_links(entries, stash(self.light_links(entries), "links"))
         roots = stash(connected_components(self.links).withColumnRenamed("id", "node"), "roots")
         self.nodes = nodes
         full = stash(nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("component", "node").alias("component_id")), "classes")

@@ -1,7 +1,7 @@
 from .catalog import catalog
 from .compile import Built, build, register_operator, register_sink, register_source
 from .graph import render
-from .spec import Sink, Source, Spec, Stage, dump, load, parse, validate
+from .spec import Sink, Source, Spec, Stage, dump, load, parse, use_profile, validate
 from .store import JobStore, Runner
 
-__all__ = ["Built", "JobStore", "Runner", "Sink", "Source", "Spec", "Stage", "build", "catalog", "dump", "load", "parse", "register_operator", "register_sink", "register_source", "render", "validate"]
+__all__ = ["Built", "JobStore", "Runner", "Sink", "Source", "Spec", "Stage", "build", "catalog", "dump", "load", "parse", "register_operator", "register_sink", "register_source", "render", "use_profile", "validate"]

@@ -14,6 +14,16 @@ PROFILES = {
 }
 
 
+def use_profile(spark, name: str) -> dict[str, str]:
+    """Sets a profile's Spark options on the session; the rest, for readers and triggers, is returned."""
+    if name not in PROFILES:
+        raise JobError(f"unknown profile {name!r}")
+    for k, v in PROFILES[name].items():
+        if k.startswith("spark."):
+            spark.conf.set(k, v)
+    return {k: v for k, v in PROFILES[name].items() if not k.startswith("spark.")}
+
+
 class JobError(ValueError):
     """The job's text or graph is not valid."""
 

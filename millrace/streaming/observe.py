@@ -41,6 +41,20 @@ class Progress(StreamingQueryListener):
                 f["errors"] += 1
 
 
+class Quarantine:
+    """Rejected rows: the last ``keep`` of them and their number. Use ``sink`` as a ``foreachBatch`` of rejects; with a path they are also kept whole as files."""
+
+    def __init__(self, keep: int = 1000, path: str | None = None) -> None:
+        self.rows: deque = deque(maxlen=keep)
+        self.total, self.path = 0, path
+
+    def sink(self, df: DataFrame, batch: int) -> None:
+        self.total += df.count()
+        self.rows.extend(r.asDict() for r in df.limit(self.rows.maxlen).collect())
+        if self.path:
+            df.write.mode("overwrite").json(f"{self.path}/_batch={batch:020d}")
+
+
 def prometheus(figures: dict[str, dict]) -> str:
     """The figures in Prometheus' text form."""
     kinds = {"processed": "counter", "errors": "counter", "late": "counter", "throughput": "gauge", "p50_ms": "gauge", "p99_ms": "gauge"}

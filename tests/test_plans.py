@@ -128,6 +128,14 @@ def test_store_and_runner(spark, tmp_path):
     assert store.names() == []
 
 
+def test_profile(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert plans.use_profile(spark, "sidecar")["trigger"] == "5 milliseconds" and spark.conf.get("spark.sql.shuffle.partitions") == "8"
+    spark.conf.set("spark.sql.shuffle.partitions", before)
+    with pytest.raises(JobError):
+        plans.use_profile(spark, "none")
+
+
 def test_references(spark):
     plans.register_source("three", lambda s: s.range(3).withColumnRenamed("id", "v"))
     plans.register_operator("twice", lambda df, by: df.withColumn("v", F.col("v") * by))

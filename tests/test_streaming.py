@@ -129,6 +129,12 @@ def test_http(spark, tmp_path):
     assert sorted(r.a for r in spark.table("landed").collect()) == [1, 2]
 
 
+def test_quarantine(spark, tmp_path):
+    q = streaming.Quarantine(keep=2, path=str(tmp_path / "dlq"))
+    q.sink(spark.range(5), 0)
+    assert q.total == 5 and len(q.rows) == 2 and spark.read.json(str(tmp_path / "dlq")).count() == 5
+
+
 def test_observe(spark):
     p = streaming.Progress()
     for ms in range(1, 101):

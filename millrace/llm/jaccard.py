@@ -141,26 +141,36 @@ class Join:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             counts = shared.value
             chosen = Memo(lambda k: np.array(list(combinations(range(k[0]), k[1])), np.int64))
-            for batch in slices(batches, "text"):
-                parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+            kinds = (np.uint64, np.int32, np.int32, np.int32, np.int32)
+            for batch in slices(batches, "text", 1 << 20):
+                parts: list[list[np.ndarray]] = [[] for _ in kinds]
+                rows = 0
 
-                def add(h: np.ndarray, doc: int, size: int, place: np.ndarray | int, total: int, parts=parts) -> None:
-                    for p, x in zip(parts, (h, doc, size, place, total), strict=True):
-                        p.append(x if isinstance(x, np.ndarray) else np.full(len(h), x))
+                def flush(parts=parts, batch=batch) -> pa.RecordBatch:
+                    h, doc, size, place, total = (np.concatenate(p) for p in parts)
+                    for p in parts:
+                        p.clear()
+                    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), batch.column("id").take(pa.array(doc)), pa.array(size), pa.array(place), pa.array(total)], names=schema.names)
 
                 for doc, own in enumerate(element_sets(texts(batch, "text"), n)):
-                    size = len(own)
+                    size, found = len(own), []
                     if 0 < size < boundary:
                         whole = own.sum()
                         for total, c in subset_plan(size, percent):
                             left_out = chosen[size, size - c]
-                            add(mix64(whole - own[left_out].sum(axis=1, dtype=np.uint64)), doc, size, 0, total)
+                            found.append((mix64(whole - own[left_out].sum(axis=1, dtype=np.uint64)), 0, total))
                     if size and 100 * size >= percent * boundary:
                         first = np.lexsort((own, counts[_cell(own)]))[: prefix_size(size, percent) + MORE_ENTRIES]
-                        add(own[first], doc, size, np.arange(len(first)), 0)
-                if parts[0]:
-                    h, doc, size, place, total = (np.concatenate(p) for p in parts)
-                    yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.uint64).view(np.int64)), batch.column("id").take(pa.array(doc.astype(np.int64))), pa.array(size.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(total.astype(np.int32))], names=schema.names)
+                        found.append((own[first], np.arange(len(first), dtype=np.int32), 0))
+                    for h, place, total in found:
+                        for p, x, kind in zip(parts, (h, doc, size, place, total), kinds, strict=True):
+                            p.append(x if isinstance(x, np.ndarray) else np.full(len(h), x, kind))
+                        rows += len(h)
+                    if rows > 100_000:
+                        yield flush()
+                        rows = 0
+                if rows:
+                    yield flush()
 
         return docs.mapInArrow(run, schema)
 
@@ -190,7 +200,7 @@ class Join:
     def verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) that link, by their whole sets."""
         percent, id_type = self.percent, self.id_type
-        sets = stash(self.sets(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "sets")
+        sets = stash(self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "sets")
         both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,11 +238,11 @@ class Join:
         """shared_least as an expression."""
         return F.ceil((F.col(n) + F.col(m)) * self.percent / F.lit(100.0 + self.percent) - 1e-9)
 
-    def _fits(self, a: str, b: str) -> F.Column:
-        """Whether two entries of a list are among the first n - c + 1 + MORE_ENTRIES of their sets, of which linked sets share 1 + MORE_ENTRIES or c."""
+    def _fits(self, a: str, b: str, more: int) -> F.Column:
+        """Whether two entries of a list are among the first n - c + 1 + more of their sets, for the c that linked sets of their sizes share."""
         n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
         room = F.least(n - F.col(f"{a}.place"), m - F.col(f"{b}.place"))
-        return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (room >= self._least(f"{a}.n", f"{b}.n") - MORE_ENTRIES)
+        return (F.least(n, m) * 100 >= F.greatest(n, m) * self.percent) & (room >= self._least(f"{a}.n", f"{b}.n") - more)
 
     def heavy_links(self, entries: DataFrame, links: DataFrame) -> DataFrame:
         """Verified links that hold together, with those given, all groups of linked sets."""
@@ -264,15 +274,17 @@ class Join:
                 lists = stash(rooted.join(open_lists.select("h", "k"), "h"), "lists")
                 unstash(rooted)
             if last:
-                pairs = lists.alias("a").join(lists.alias("b"), "h").where((F.col("a.root") < F.col("b.root")) & self._fits("a", "b"))
+                # Two sets meet at the first entry that they share, where there must be room for a link.
+                before = F.collect_list("h").over(W.partitionBy("node").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+                lists = stash(lists.withColumn("before", before), "lists")
+                pairs = lists.alias("a").join(lists.alias("b"), "h").where((F.col("a.root") < F.col("b.root")) & self._fits("a", "b", 0) & ~F.arrays_overlap("a.before", "b.before"))
+                pairs = pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.lit(1).alias("common"))
             else:
                 # About `hubs` members of a list, the same ones wherever they stand; of long lists an eighth is enough, since like sets share many.
                 used = lists.where((F.col("k") <= hubs) | (F.pmod(F.xxhash64("h", F.lit(scan)), F.lit(8)) == 0))
                 hub = used.where(F.pmod(F.xxhash64("node", F.lit(scan)), F.lit(1 << 20)) * F.col("k") < hubs << 20)
-                pairs = used.alias("a").join(hub.alias("b"), "h").where((F.col("a.root") != F.col("b.root")) & self._fits("a", "b"))
-            pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.col("a.n").alias("n"), F.col("b.n").alias("m")).agg(F.count("*").alias("common"))
-            if last:  # every entry that two sets share has been met
-                pairs = pairs.where(F.col("common") >= F.least(F.lit(MORE_ENTRIES + 1), self._least("n", "m")))
+                pairs = used.alias("a").join(hub.alias("b"), "h").where((F.col("a.root") != F.col("b.root")) & self._fits("a", "b", MORE_ENTRIES))
+                pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("common"))
             pairs = pairs.select("x", "common", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -21,9 +22,9 @@ for _i in range(128):
 ALNUM_TABLE = bytes(_alnum)
 
 #: Bytes of text that one slice of an Arrow batch may hold while it is worked on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch; with long texts the default of Spark takes much memory on both sides.
-BATCH_ROWS = 2000
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 #: Nodes up to which a round's lowest neighbours are broadcast.
 BROADCAST_NODES = 300_000
@@ -69,6 +70,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = max(start + 1, int(np.searchsorted(ends, base + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def texts(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -107,6 +109,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def give_back() -> None:
+    """Returns freed memory of a Python worker to the system, where that is possible; idle workers stay for a while."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
 
 
 def unstash(df: DataFrame) -> None:

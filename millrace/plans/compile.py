@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as ops
 from ..functions.specs import arithmetic, compare, seconds
+from ..operators.ordering import shared_dir
 from ..sources import generator, http_landing, memory, post_batch
 from .spec import Spec, Stage, load
 
@@ -138,9 +140,11 @@ def _source(spark: SparkSession, spec: Spec, rows: list[dict] | None, bounded: i
         given = rows if rows is not None else p.get("rows") or []
         return memory(spark, [{**r, "_seq": k} for k, r in enumerate(given)], None if given else "_seq bigint")
     host, _, port = p["addr"].rpartition(":")
-    import tempfile
-
-    return http_landing(tempfile.mkdtemp(prefix="ingest-"), int(port), host or "127.0.0.1").stream(spark, p.get("schema") or "value string")
+    # Where rows land must be a folder that the executors see as well: given, or in the shared one if that is a mounted file system.
+    folder = p.get("landing") or f"{shared_dir(spark).removeprefix('file://')}/ingest-{uuid.uuid4().hex}"
+    if "://" in folder:
+        raise ValueError("the shared folder is no mounted file system: the source needs `landing`")
+    return http_landing(folder, int(port), host or "127.0.0.1").stream(spark, p.get("schema") or "value string")
 
 
 def build(spark: SparkSession, job: Spec | str | dict, rows: list[dict] | None = None, bounded: int | None = None) -> Built:

@@ -36,7 +36,6 @@ def test_query(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     cols = sorted(df.columns)
     got = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
-    assert got
     if name in SQL:
         found = duck.execute(SQL[name])
         names = [x[0] for x in found.description]

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import Memo, slices
+from .common import Memo, give_back, slices
 
 NEVER = 1 << 60
 
@@ -94,7 +94,7 @@ class Automaton:
         """Whether the merges ever make the token: whether its halves could follow each other when their merge came."""
         made = self.made[token]
         if made < 0:
-            return token in self.base
+            self.reached[token] = token in self.base
         found = self.reached.get(token)
         if found is None:
             a, b = self.head[token], self.tail[token]
@@ -112,11 +112,21 @@ class Automaton:
         n, token_of, longest = len(symbols), self.token_of, self.longest
         last: list[int] = [-1] * (n + 1)  # by end, the last token of the path to it
         start: list[int] = [0] * (n + 1)
+        table, reached = self.table, self.reached
         for end in range(1, n + 1):
             tail = self.suffix if end == n else ""
             for begin in range(max(0, end - longest), end):
                 token = token_of.get(symbols[begin:end] + tail)
-                if token is not None and self.is_reached(token) and (begin == 0 or last[begin] >= 0 and self.allowed(last[begin], token)):
+                if token is None:
+                    continue
+                if begin:
+                    before = last[begin]
+                    if before < 0:
+                        continue
+                    ok = table.get(before << 32 | token)
+                    if not (self.allowed(before, token) if ok is None else ok):
+                        continue
+                if reached.get(token) or self.is_reached(token):
                     last[end], start[end] = token, begin
                     break
         out, at = [], n
@@ -189,6 +199,13 @@ class Tokenizer:
         words.trim()
         return b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[1]])
 
+    def rest(self) -> None:
+        """Between tasks only the automaton and the transitions used most recently are kept."""
+        self.automaton.words.clear()
+        self.automaton.gone.clear()
+        if len(self.automaton.table) > 300_000:
+            self.automaton.table.clear()
+
     def decode(self, ids: bytes) -> str:
         return " ".join(map(self.automaton.label.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
@@ -237,5 +254,7 @@ def encode_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id
             if "decoded" in keep:
                 out.append(pa.array(texts, pa.string()))
             yield pa.RecordBatch.from_arrays(out, names=schema.names)
+        tok.rest()
+        give_back()
 
     return docs.select(id_col, text_col).mapInArrow(run, schema)

@@ -115,6 +115,7 @@ def small_batches(spark: SparkSession) -> None:
 def give_back() -> None:
     """Returns freed memory of a Python worker to the system, where that is possible; idle workers stay for a while."""
     gc.collect()
+    pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except (OSError, AttributeError):

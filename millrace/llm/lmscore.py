@@ -5,10 +5,14 @@ marked as wanted, the background model counts all documents, scaled to the targe
 that the two are matched. A word's loss is its negative log probability after the word before it; a
 document's score is the mean of the target's loss minus the background's, so lower means more like the target.
 
-Counts cover every word of every document: each task counts its own, the counts are summed by a shuffle.
-The vocabulary keeps the ``VOCABULARY`` most frequent words (the others are one unknown word), and the
-models keep the ``PAIRS`` most frequent pairs of known words (for others the smoothing, which is by
-single words, decides). Both bounds are parameters, so what is broadcast has a size that holds for any input.
+Counts cover every word and every pair of every document, and nothing counted is left out: the model is a
+stored table that grows with the input. Words and pairs are numbered by 64-bit hashes. Tokens are dealt to buckets
+by their word, those of the at most ``HEAVY`` most frequent words by their pair; a bucket has the counts that the
+losses of its tokens need. A document's tokens are scored where their counts are, and the sums are brought back to
+its text. The number of buckets grows with the number of words counted, so that one fits into a task.
+
+``fit`` with ``vocabulary`` or ``pairs`` gives a bounded model instead, small enough to be broadcast: it keeps only the most
+frequent words (the others are one unknown word) and pairs of known words (for others the smoothing decides).
 
 Null and empty texts have no words and score 0. Documents without a mark, or marked twice, count as
 wanted if any mark says so. Without wanted documents the target model is even over the vocabulary. An
@@ -17,19 +21,27 @@ empty table gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import alnum_words, annotate, bounded, slices, stash, texts, unstash
+from .common import Memo, alnum_words, annotate, bounded, give_back, mix64, release, slices, small_batches, stash, texts, unstash
 
+#: Bounds of a bounded model of which only the other bound is given.
 VOCABULARY = 20_000
 PAIRS = 2_000_000
+#: Words with at least this part of all words are dealt by pair; there can't be more of them.
+HEAVY = 20_000
+#: Words counted for each bucket; bytes and rows of text that are worked on at once (a row's number has 15 bits).
+BUCKET_WORDS = 2_000_000
+CHUNK_BYTES, CHUNK_ROWS = 3 << 20, 30_000
 #: Weight of the single-word model, as a number of words, and of every word in that model.
 PRIOR, EVEN = 20.0, 0.5
 #: Words that a task counts before it hands its counts on.
@@ -59,6 +71,239 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of several batches together, about ``CHUNK_BYTES`` of text."""
+    held, size, rows = [], 0, 0
+    for batch in slices(batches, "text"):
+        n = batch.column("text").nbytes
+        if held and (size + n > CHUNK_BYTES or rows + batch.num_rows > CHUNK_ROWS):
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size, rows = [], 0, 0
+        held.append(batch)
+        size, rows = size + n, rows + batch.num_rows
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def _hash(word: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+
+
+class Tokens:
+    """The words of a chunk, one after the other: their hashes, those of the pairs that end in them, their rows and places."""
+
+    def __init__(self, found: list[bytes], memo: Memo) -> None:
+        parts = []
+        for text in found:
+            words = alnum_words(text)
+            parts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
+            memo.trim()
+        self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        self.word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+        self.row = np.repeat(np.arange(len(parts)), self.sizes)
+        ends = np.cumsum(self.sizes)[self.sizes > 0]
+        self.first, self.last = np.zeros(len(self.word), bool), np.zeros(len(self.word), bool)
+        self.last[ends - 1] = True
+        self.first[ends - self.sizes[self.sizes > 0]] = True
+        before = np.r_[np.zeros(min(1, len(self.word)), np.uint64), self.word[:-1]]
+        before[self.first] = 0
+        self.pair = mix64(mix64(before) + self.word)
+
+    def bucket(self, heavy: np.ndarray, buckets: int) -> np.ndarray:
+        key = np.where(_among(heavy, self.word)[1], self.pair, self.word)
+        return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _among(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each wanted key is in the sorted keys, and whether it is."""
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return at, keys[at] == wanted
+
+
+def _summed(keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys with the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
+    if not len(keys):
+        return keys, target, background
+    return keys[starts], np.add.reduceat(target[order], starts), np.add.reduceat(background[order], starts)
+
+
+def _cut(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Stretches of equal sorted numbers."""
+    if len(bucket):
+        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        for lo, hi in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
+            yield int(bucket[lo]), slice(int(lo), int(hi))
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """Small numbers, compressed."""
+    return len(x).to_bytes(8, "little") + pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, kind) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    return np.frombuffer(pa.decompress(data[8:], n * np.dtype(kind).itemsize, "zstd"), kind)
+
+
+def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
+    """Keys are stored as they are, counts packed."""
+    read = np.frombuffer if kind is np.uint64 else _unpack
+    return np.concatenate([np.zeros(0, kind), *(read(x, kind) for x in table.column(column).to_pylist())])
+
+
+def _stored(keys: np.ndarray, *counts: np.ndarray) -> list[bytes]:
+    return [keys.tobytes(), *map(_pack, counts)]
+
+
+_COUNTS = "bucket long, pair binary, pt binary, pb binary, word binary, wt binary, wb binary"
+
+
+class Whole:
+    """Two matched bigram models over all words: counts of pairs and light words by bucket in a stored table, and those of the heavy words."""
+
+    def __init__(self, counts: DataFrame, buckets: int, size: int, totals: tuple[int, int], heavy: np.ndarray, heavy_counts: np.ndarray) -> None:
+        self.counts, self.buckets, self.heavy, self.size = counts, buckets, heavy, size
+        self.scale = np.array([1.0, totals[0] / totals[1] if totals[0] and totals[1] else 1.0])
+        self.total, self.heavy_counts = np.array(totals, float) * self.scale, heavy_counts
+
+
+def _fit_whole(marked: DataFrame) -> Whole:
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(_hash, 150_000)
+        for batch in _chunks(batches):
+            tokens = Tokens(texts(batch, "text"), memo)
+            mark = batch.column("marked").to_numpy()[tokens.row].astype(np.int64)
+            key, t, b = _summed(tokens.word, mark, np.ones(len(mark), np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(t), pa.array(b)], names=["word", "t", "b"])
+        memo.clear()
+        give_back()
+
+    singles = stash(marked.mapInArrow(words, "word long, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
+    size, t, b = singles.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
+    top = singles.where(F.col("b") >= max(1, -(-b // HEAVY))).toArrow()
+    unstash(singles)
+    heavy = top.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(heavy)
+    heavy, heavy_counts = heavy[order], np.stack([top.column("t").to_numpy(), top.column("b").to_numpy()], axis=1).astype(float)[order]
+    buckets = b // BUCKET_WORDS + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo(_hash, 150_000)
+        for batch in _chunks(batches):
+            tokens = Tokens(texts(batch, "text"), memo)
+            bucket, mark = tokens.bucket(heavy, buckets), batch.column("marked").to_numpy()[tokens.row].astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            light, inner = ~_among(heavy, tokens.word)[1], ~tokens.first
+            rows: list[list] = []
+            for k, part in _cut(bucket[order]):
+                own = order[part]
+                row = [k]
+                for key, keep in ((tokens.pair, inner), (tokens.word, light)):
+                    at = own[keep[own]]
+                    row += _stored(*_summed(key[at], mark[at], np.ones(len(at), np.int64)))
+                rows.append(row)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if not i else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], names=["bucket", "pair", "pt", "pb", "word", "wt", "wb"])
+        memo.clear()
+        give_back()
+
+    def merge(table: pa.Table) -> pa.Table:
+        out = [pa.array([table.column("bucket")[0].as_py()], pa.int64())]
+        for names in (("pair", "pt", "pb"), ("word", "wt", "wb")):
+            out += [pa.array([x], pa.binary()) for x in _stored(*_summed(*(_joined(table, n, np.uint64 if not i else np.int64) for i, n in enumerate(names))))]
+        give_back()
+        return pa.Table.from_arrays(out, names=["bucket", "pair", "pt", "pb", "word", "wt", "wb"])
+
+    counts = stash(marked.mapInArrow(run, _COUNTS).groupBy("bucket").applyInArrow(merge, _COUNTS), "ngrams")
+    # One more for the words that are in no document.
+    release(marked.sparkSession)
+    return Whole(counts, buckets, size + 1, (t, b), heavy, heavy_counts)
+
+
+def _score_whole(docs: DataFrame, model: Whole, text_col: str, carry: list[str] | None) -> DataFrame:
+    new = {n for n, _ in FIELDS}
+    keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
+    text = F.col(f"`{text_col}`").cast("string")
+    # Equal texts have equal scores: sums are brought back by 128 bits of the text's hash.
+    keys = [F.xxhash64(text).alias("__k0"), F.xxhash64(F.lit("lm"), text).alias("__k1")]
+    heavy, heavy_counts, buckets, scale, total, size = model.heavy, model.heavy_counts, model.buckets, model.scale, model.total, model.size
+    plain = docs.select(text.alias("text"), *keys).where("text is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo, base = Memo(_hash, 150_000), TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(_chunks(batches)):
+            tokens = Tokens(texts(batch, "text"), memo)
+            bucket = tokens.bucket(heavy, buckets)
+            place = (tokens.row * 2 + tokens.last).astype(np.uint16)
+            order = np.lexsort((tokens.pair, tokens.word, bucket))
+            # A row of its own, in no bucket, has the documents of the chunk.
+            docs = [batch.column(i).to_numpy().tobytes() for i in (1, 2)]
+            rows = [[-1 - base - number, base + number, docs[0], docs[1], _pack(tokens.sizes), b"", b""]]
+            for k, part in _cut(bucket[order]):
+                own = order[part]
+                pair, word = tokens.pair[own], tokens.word[own]
+                starts = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])])
+                many, word = np.diff(np.r_[starts, len(own)]).astype(np.uint32), word[starts]
+                heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
+                pairs_of = np.diff(np.r_[heads, len(word)]).astype(np.uint32)
+                rows.append([k, base + number, pair[starts].tobytes(), word[heads].tobytes(), _pack(many), _pack(pairs_of), _pack(place[own])])
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], names=["bucket", "chunk", "a", "b", "n", "pairs", "place"])
+        memo.clear()
+        give_back()
+
+    def look(asked: pa.Table, counts: pa.Table) -> pa.Table:
+        pairs, words = (_joined(counts, n, np.uint64) for n in ("pair", "word"))
+        pair_counts, word_counts = (np.stack([_joined(counts, n, np.int64) for n in names], axis=1) * scale for names in (("pt", "pb"), ("wt", "wb")))
+        out: list[list] = []
+        for row in (x for part in asked.to_batches(16) for x in part.to_pylist()):
+            if row["bucket"] < 0:
+                out.append([row["chunk"], row["a"], row["b"], row["n"], b""])
+                continue
+            pair, word = np.frombuffer(row["a"], np.uint64), np.repeat(np.frombuffer(row["b"], np.uint64), _unpack(row["pairs"], np.uint32))
+            many, place = _unpack(row["n"], np.uint32), _unpack(row["place"], np.uint16).astype(np.int64)
+            single, seen = np.zeros((len(word), 2)), np.zeros((len(pair), 2))
+            for into, keys, found, wanted in ((single, words, word_counts, word), (single, heavy, heavy_counts * scale, word), (seen, pairs, pair_counts, pair)):
+                at, there = _among(keys, wanted)
+                into[there] = found[at[there]]
+            ends = np.repeat(-np.log(seen + PRIOR * (single + EVEN) / (total + EVEN * size)), many, axis=0)
+            # What a word adds as the one before another.
+            begins = np.repeat(np.log(single + PRIOR), many, axis=0) * (place & 1 == 0)[:, None]
+            sums = np.stack([np.bincount(place >> 1, weights=(ends + begins)[:, m]) for m in (0, 1)], axis=1)
+            rows = np.flatnonzero(np.bincount(place >> 1))
+            out.append([row["chunk"], None, None, rows.astype(np.uint16).tobytes(), sums[rows].tobytes()])
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        give_back()
+        return pa.Table.from_arrays([pa.array(x, pa.int64() if not i else pa.binary()) for i, x in enumerate(columns)], names=["chunk", "a", "b", "n", "sums"])
+
+    def gather(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        head = next(r for r in rows if r["a"] is not None)
+        n = _unpack(head["n"], np.int64)
+        # The first word has none before it.
+        loss = np.repeat(np.where(n > 0, np.log(PRIOR), 0.0)[:, None], 2, axis=1)
+        # In a fixed order, so that sums do not depend on the shuffle.
+        for r in sorted((r for r in rows if r["a"] is None), key=lambda r: (r["n"], r["sums"])):
+            loss[np.frombuffer(r["n"], np.uint16)] += np.frombuffer(r["sums"], np.float64).reshape(-1, 2)
+        return pa.Table.from_arrays([pa.array(x) for x in (np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int64), n, loss[:, 0].copy(), loss[:, 1].copy())], names=["__k0", "__k1", "n", "t", "b"])
+
+    small_batches(docs.sparkSession)
+    asked = plain.mapInArrow(run, "bucket long, chunk long, a binary, b binary, n binary, pairs binary, place binary")
+    sums = asked.groupBy("bucket").cogroup(model.counts.groupBy("bucket")).applyInArrow(look, "chunk long, a binary, b binary, n binary, sums binary")
+    losses = sums.groupBy("chunk").applyInArrow(gather, "__k0 long, __k1 long, n long, t double, b double")
+    means = losses.groupBy("__k0", "__k1").agg((F.sum("n") / F.count("*")).cast("long").alias("__n"), (F.sum("t") / F.greatest(F.sum("n"), F.lit(1))).alias("__t"), (F.sum("b") / F.greatest(F.sum("n"), F.lit(1))).alias("__b"))
+    kept = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(keep)], *keys)
+    zero = lambda c, v: F.coalesce(c, F.lit(v))
+    return kept.join(means, ["__k0", "__k1"], "left").select(
+        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(keep)],
+        zero(F.col("__n"), 0).cast("long").alias("n_tokens"), zero(F.col("__t"), 0.0).alias("target_loss"), zero(F.col("__b"), 0.0).alias("background_loss"), zero(F.col("__t") - F.col("__b"), 0.0).alias("score"),
+    )
+
+
 class Pair:
     """Two matched bigram models over one vocabulary."""
 
@@ -83,16 +328,20 @@ class Pair:
         return -np.log(p)
 
 
-def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int = VOCABULARY, pairs: int = PAIRS) -> Pair:
-    """Counts all documents, and those with an id in ``wanted`` apart."""
+def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: int | None = None, pairs: int | None = None) -> Pair | Whole:
+    """Counts all documents, and those with an id in ``wanted`` apart; whole, unless ``vocabulary`` or ``pairs`` bounds the model."""
     spark = docs.sparkSession
+    marks = bounded(wanted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("marked", F.lit(1)), BROADCAST_MARKS)
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(marks, "__id", "left").select("text", F.coalesce("marked", F.lit(0)).alias("marked"))
+    if vocabulary is None and pairs is None:
+        small_batches(spark)
+        return _fit_whole(marked)
+    vocabulary, pairs = VOCABULARY if vocabulary is None else vocabulary, PAIRS if pairs is None else pairs
     plain = docs.select(F.col(text_col).cast("string").alias("text"))
     words = plain.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     top = sorted(bytes(r.word) for r in words.orderBy(F.desc("n"), "word").limit(vocabulary).collect())
     size = len(top) + 1
     shared = spark.sparkContext.broadcast(top)
-    marks = bounded(wanted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("marked", F.lit(1)), BROADCAST_MARKS)
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(marks, "__id", "left").select("text", F.coalesce("marked", F.lit(0)).alias("marked"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = {w: i for i, w in enumerate(shared.value, 1)}.get
@@ -128,8 +377,10 @@ def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: st
     return Pair(top, single, key[key >= 0][order], n[key >= 0][order])
 
 
-def score(docs: DataFrame, model: Pair, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+def score(docs: DataFrame, model: Pair | Whole, text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Appends ``n_tokens``, ``target_loss``, ``background_loss`` and ``score``, means per word."""
+    if isinstance(model, Whole):
+        return _score_whole(docs, model, text_col, carry)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

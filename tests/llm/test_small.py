@@ -344,3 +344,26 @@ def test_lm_scores(spark):
     assert lmscore.score(empty(spark), lmscore.fit(empty(spark), wanted)).count() == 0
 
 
+def test_lm_keeps_rare_words_and_pairs(spark):
+    """More words than a bounded vocabulary has: those past its end, and pairs of them, are told apart; several buckets."""
+    common = " ".join(f"w{i}" for i in range(20_000))
+    docs = [(0, f"{common} {common}"), (1, f"{common} {common}"), (2, "rare pair"), (3, "odd couple"), (4, "pair rare"), (5, "rare pair")]
+    df, wanted = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(2,)], "doc_id long")
+    got = {r.doc_id: r for r in lmscore.score(df, lmscore.fit(df, wanted)).collect()}
+    assert got[2].score < got[4].score < got[3].score and got[2].score == got[5].score
+    assert [got[i].n_tokens for i in range(6)] == [40_000, 40_000, 2, 2, 2, 2]
+
+
+@pytest.mark.parametrize(("words", "heavy"), [(3, 20_000), (3, 1), (3, 4)])
+def test_lm_buckets(spark, monkeypatch, words, heavy):
+    """The buckets do not change the scores: one with all words light or heavy, or many."""
+    rnd = random.Random(11)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(rnd.randint(0, 30)))) for i in range(60)]
+    df, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 60, 4)], "doc_id long")
+    bound = {r.doc_id: r for r in lmscore.score(df, lmscore.fit(df, wanted, vocabulary=1000, pairs=1000)).collect()}
+    monkeypatch.setattr(lmscore, "BUCKET_WORDS", words)
+    monkeypatch.setattr(lmscore, "HEAVY", heavy)
+    whole = {r.doc_id: r for r in lmscore.score(df, lmscore.fit(df, wanted)).collect()}
+    assert whole.keys() == bound.keys()
+    for i, r in bound.items():
+        assert whole[i].n_tokens == r.n_tokens and [whole[i].target_loss, whole[i].background_loss] == pytest.approx([r.target_loss, r.background_loss], rel=1e-5)

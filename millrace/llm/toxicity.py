@@ -1,6 +1,6 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax.
 
-A word is the bag of its character n-grams (3 to 5 bytes, framed) and itself, hashed into 2^20 rows of an
+A word is the bag of its character n-grams (3 to 5 bytes, framed; all of them, however long the word) and itself, hashed into 2^20 rows of an
 embedding table, so that an unseen misspelling shares vectors with the words it resembles. A document is
 the average of its words' vectors; a linear softmax over it gives the two classes. Table and softmax are
 trained together, by full-batch Adam in numpy, on at most ``TRAIN_DOCS`` labelled documents taken by the
@@ -40,17 +40,47 @@ RATE = 0.1
 DECAY = 0.01
 #: Averages of many words are small; the average times this goes into the softmax.
 GAIN = 100.0
+#: Words longer than this are taken in pieces of ``PIECE`` bytes, and their scores are not kept.
+LONG, PIECE = 256, 1 << 16
+
+_crc = np.arange(256, dtype=np.uint32)
+for _ in range(8):
+    _crc = np.where(_crc & 1, _crc >> 1 ^ np.uint32(0xEDB88320), _crc >> 1)
 
 
 def subwords(word: bytes) -> list[int]:
     """Rows of the embedding table that make up a word."""
-    framed = b"<" + word[:64] + b">"
+    if len(word) > LONG:
+        return np.concatenate(list(pieces(word))).tolist()
+    framed = b"<" + word + b">"
     out = [zlib.crc32(word) & ROWS - 1]
     for n in (3, 4, 5):
         out += [zlib.crc32(framed[i : i + n]) & ROWS - 1 for i in range(len(framed) - n + 1)]
     return out
 
 
+def pieces(word: bytes) -> Iterator[np.ndarray]:
+    """The same rows for a long word, n-grams by columns."""
+    yield np.array([zlib.crc32(word) & ROWS - 1])
+    framed = np.frombuffer(b"<" + word + b">", np.uint8)
+    for at in range(0, len(framed), PIECE):
+        for n in (3, 4, 5):
+            part = framed[at : at + PIECE + n - 1]
+            size = len(part) - n + 1
+            if size > 0:
+                crc = np.full(size, 0xFFFFFFFF, np.uint32)
+                for i in range(n):
+                    crc = _crc[(crc ^ part[i : i + size]) & 255] ^ crc >> 8
+                yield (~crc & np.uint32(ROWS - 1)).astype(np.int64)
+
+
+class Words(Memo):
+    """Keeps the scores of words that are not long."""
+
+    def __missing__(self, word: bytes) -> float:
+        return super().__missing__(word) if len(word) <= LONG else self.make(word)
+
+
 class Sums:
     """Sums of rows by group, forwards and backwards, for groups given as a flat list."""
 
@@ -85,6 +115,9 @@ class Model:
         self.odds, self.bias = odds, bias
 
     def word(self, word: bytes) -> float:
+        if len(word) > LONG:
+            parts = [(float(self.odds[rows].sum(dtype=np.float64)), len(rows)) for rows in pieces(word)]
+            return sum(x for x, _ in parts) / sum(n for _, n in parts)
         rows = subwords(word)
         return float(self.odds[rows].sum()) / len(rows)
 
@@ -173,7 +206,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
     def make():
         model = shared.value
-        words = Memo(model.word)
+        words = Words(model.word)
 
         def work(batch: list[bytes], _valid) -> list:
             out = np.empty(len(batch))

@@ -302,6 +302,22 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_reads_whole_words():
+    """The n-grams of a word past its first 64 bytes count, and those of a long run are the same in pieces."""
+    rnd = random.Random(12)
+    word = bytes(rnd.choice(b"abcdefgh\xe6\x97\xa5") for _ in range(70_000))
+    for w in (word[:63], word[:100], word[:300], word):
+        framed = b"<" + w + b">"
+        want = [zlib.crc32(w), *(zlib.crc32(framed[i : i + n]) for n in (3, 4, 5) for i in range(len(framed) - n + 1))]
+        rows = toxicity.subwords(w)
+        assert sorted(rows) == sorted(x & toxicity.ROWS - 1 for x in want)
+    odds = np.zeros(toxicity.ROWS, np.float32)
+    odds[zlib.crc32(b"zorg") & toxicity.ROWS - 1] = 1.0
+    model = toxicity.Model(odds, 0.0)
+    for n in (70, 300, 70_000):
+        assert model.word(b"x" * n + b"zorg") > model.word(b"x" * n + b"nice")
+
+
 # Language-model scores
 
 

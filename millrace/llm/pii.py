@@ -92,8 +92,12 @@ _strange = re.compile("[" + re.escape("".join(_looks)) + r"]|(?![0-9])\d")
 _number = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _spelled = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,.-]{{1,3}})?(?:(?:{_number}|[0-9])[\s,.-]{{1,3}}){{6,}}(?:{_number}|[0-9])(?!\w)", re.I)
 _spelled_part = re.compile(rf"(?:plus|\+)[\s,.-]{{1,3}}|(?:{_number})[\s,.-]{{0,3}}|[0-9][\s,.-]{{0,3}}", re.I)
-_hint = re.compile(rf"\b(?:{_number})[\s,.-]{{1,3}}(?:{_number}|[0-9])[\s,.-]{{1,3}}(?:{_number}|[0-9])\b", re.I)
-_dot_hint = re.compile(r"[(\[{<]\s?(?:at|dot)\s?[)\]}>]|\bat\s+[A-Za-z0-9-]+\s+dot\s", re.I)
+# Digit words among groups of digits; a run counts if it has a word and, rewritten, at least seven digits.
+_mixed = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,.-]{{1,3}})?(?:(?:{_number}|[0-9]++)[\s,.-]{{1,3}})+(?:{_number}|[0-9]++)(?!\w)", re.I)
+_mixed_part = re.compile(rf"(?:plus|\+)[\s,.-]{{1,3}}|(?:{_number}|[0-9]+)[\s,.-]{{0,3}}", re.I)
+# Conditions without which there is nothing to rewrite.
+_hint = re.compile(rf"\b(?:{_number})\b", re.I)
+_dot_hint = re.compile(r"[(\[{<]\s?at\s?[)\]}>]|\bdot\b", re.I)
 _dressed = re.compile(
     r"(?<=[A-Za-z0-9])\s{0,3}[(\[{<]\s?(?P<word>at|dot)\s?[)\]}>]\s{0,3}(?=[A-Za-z0-9])"
     r"|(?<=[A-Za-z0-9])\s{1,3}(?P<at>at)\s{1,3}(?=[A-Za-z0-9-]+(?:\s{1,3}|\s{0,3}[(\[{<]\s?)dot(?:\s|\s?[)\]}>]))"
@@ -156,18 +160,29 @@ def _ascii_digit(c: str) -> str:
     return found if found is not None else str(unicodedata.digit(c, "")) or c
 
 
-def rewritten(text: str) -> Rewritten | None:
-    """The text without disguises, or None if none is in it."""
+def _pieces(text: str, run: re.Pattern, part: re.Pattern) -> list[tuple[int, int, str]]:
+    pieces = []
+    for m in run.finditer(text):
+        own = []
+        for p in part.finditer(text, m.start(), m.end()):
+            bare = p[0].rstrip(" \t\n\r,.-").lower()
+            own.append((p.start(), p.start() + len(bare) if p.end() == m.end() else p.end(), {"plus": "+", "+": "+"}.get(bare) or DIGIT_WORDS.get(bare, bare)))
+        if run is _spelled or (sum(len(x) for *_, x in own if x != "+") >= 7 and _hint.search(m[0])):
+            pieces += own
+    return pieces
+
+
+def rewritten(text: str, mixed: bool = False) -> Rewritten | None:
+    """The text without disguises, or None if none is in it; ``mixed``: digit words may stand among groups of digits, and None if none do."""
     out = Rewritten(text)
     if not text.isascii() and _strange.search(text):
         out = out.apply([(m.start(), m.end(), _ascii_digit(m[0])) for m in _strange.finditer(text)])
+    pieces = []
     if _hint.search(out.text):
-        pieces = []
-        for m in _spelled.finditer(out.text):
-            for p in _spelled_part.finditer(out.text, m.start(), m.end()):
-                bare = p[0].rstrip(" \t\n\r,.-").lower()
-                pieces.append((p.start(), p.start() + len(bare) if p.end() == m.end() else p.end(), {"plus": "+", "+": "+"}.get(bare) or DIGIT_WORDS.get(bare, bare)))
+        pieces = _pieces(out.text, _mixed, _mixed_part) if mixed else _pieces(out.text, _spelled, _spelled_part)
         out = out.apply(pieces)
+    if mixed and not pieces:
+        return None
     if _dot_hint.search(out.text):
         out = out.apply([(m.start(), m.end(), "@" if (m["word"] or m["at"] or m["dot"]).lower() == "at" else ".") for m in _dressed.finditer(out.text)])
     return out if out.text is not text else None
@@ -175,20 +190,22 @@ def rewritten(text: str) -> Rewritten | None:
 
 def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans found only after rewriting, in source offsets, none of which overlaps a plain one of its kind."""
-    new = rewritten(text)
-    if new is None:
-        return []
-    taken: dict[int, list[tuple[int, int]]] = {}
-    for s, k, e in plain:
-        taken.setdefault(k, []).append((s, e))
-    out = []
-    for s, k, e in plain_spans(new.text):
-        a, b = new.source(s), new.source_end(e)
-        own = taken.get(k, [])
-        i = bisect_right(own, (b, -1))
-        if b > a and not (i and own[i - 1][1] > a):
-            out.append((a, k, b))
-    return out
+    out: list[tuple[int, int, int]] = []
+    for mixed in (False, True):
+        new = rewritten(text, mixed)
+        if new is None:
+            continue
+        # What digit words among groups of digits add must not overlap what is found without.
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for s, k, e in sorted(plain + out):
+            taken.setdefault(k, []).append((s, e))
+        for s, k, e in plain_spans(new.text):
+            a, b = new.source(s), new.source_end(e)
+            own = taken.get(k, [])
+            i = bisect_right(own, (b, -1))
+            if b > a and not (i and own[i - 1][1] > a):
+                out.append((a, k, b))
+    return sorted(out)
 
 
 def joined(spans: list[tuple[int, int, int]]) -> str:

@@ -157,6 +157,21 @@ def test_disguised(text, kind, found):
     assert pii.masked(text, extra) == text.replace(found, f"<{kind.upper()}>")
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "found"),
+    [
+        ("to jane@example dot com please", "email", "jane@example dot com"),
+        ("host 192 dot 168 dot 0 dot 1 is up", "ip", "192 dot 168 dot 0 dot 1"),
+        ("ring + 4 1 5 5 5 5 2 6 one two now", "phone", "+ 4 1 5 5 5 5 2 6 one two"),
+        ("ring +1 415 five five five 26 one two now", "phone", "+1 415 five five five 26 one two"),
+        ("card 4111 one one one one 1111 1111 end", "card", "4111 one one one one 1111 1111"),
+    ],
+)
+def test_disguised_without_other_hints(text, kind, found):
+    extra = pii.disguised_spans(text, pii.plain_spans(text))
+    assert [(pii.KINDS[k], text[s:e]) for s, k, e in extra] == [(kind, found)]
+
+
 def test_disguise_keeps_offsets():
     rnd = random.Random(6)
     for _ in range(2000):

@@ -9,8 +9,11 @@ c(n, m) = ceil(percent * (n + m) / (100 + percent)) elements for sizes n and m.
 * Heavy sets, and light ones large enough to be their partners, go into inverted lists. Elements are
   ordered from rare to frequent; linked sets share an element among the first n - c + 1, so only those
   have list entries. Lists are scanned from hubs: a list's members are compared with a few of them, links
-  are contracted to components, and only lists that still hold several components are scanned again,
-  from other and more hubs, in the end pair by pair, where only pairs of different components meet.
+  are contracted to components, and only lists that still hold several components are scanned again.
+  In the end short lists are scanned pair by pair, where only pairs of different components meet. Long
+  ones are swept: a task holds a piece of a list, or two, with a bitmap of every set, and returns no pairs
+  but a forest over those that the bitmaps leave room for. Its edges are verified; a list with an edge that
+  is no link is swept again without it. So no join makes rows by the square of a list.
 * The boundary is where the sum of both costs over the sizes that occur is least.
 
 Every link is verified with the whole sets. Element frequencies come from a table of counts of fixed size
@@ -44,10 +47,14 @@ CELLS = 1 << 20
 BROADCAST_IDS = 1_000_000
 #: What an entry of an inverted list costs, in subset entries: it is counted, joined and verified.
 ENTRY_COST = 4
-#: Scans from hubs before lists are scanned pair by pair; and, by scan, comparisons of a set and hubs of a list, about.
-HUB_SCANS, HUBS = 3, [(2, 2), (8, 16), (32, 64)]
+#: By scan from hubs: comparisons of a set and hubs of a list, about.
+HUBS = [(2, 2), (8, 16)]
 #: Pairs of different components, per list entry, at which lists are scanned pair by pair.
 PAIRS_PER_ENTRY = 4
+#: Members up to which a list is scanned pair by pair; longer ones are swept in pieces of about so many, and of so many elements.
+SHORT, PIECE, PIECE_ELEMENTS = 32, 2048, 8 << 20
+#: Words of bitmaps compared at a time.
+SWEEP_WORDS = 1 << 20
 #: List entries beyond those that a common element must be among; they tell apart sets with little in common.
 MORE_ENTRIES = 4
 
@@ -99,10 +106,42 @@ def element_sets(batch: list[bytes], n: int) -> list[np.ndarray]:
     return out
 
 
+def parity_bits(elements: np.ndarray) -> bytes:
+    """A bitmap of 8 to 16 bits an element, 512 at least: a bit is set if an odd number of elements falls on it.
+
+    Two bitmaps differ in as many bits as the sets have different elements, or in fewer where some of those share a
+    bit. Folding a bitmap's halves into one gives the bitmap of half the size.
+    """
+    size = max(512, 1 << (8 * len(elements) - 1).bit_length())
+    counts = np.bincount((elements & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(counts.astype(np.uint8) & 1).tobytes()
+
+
+def span(root: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Which of the edges (p, q) join parts of the forest ``root``, which is brought up to date; of edges that join the same parts one."""
+    used, at = [], np.arange(len(p))
+    while True:
+        a, b = root[p[at]], root[q[at]]
+        keep = a != b
+        at, a, b = at[keep], a[keep], b[keep]
+        if not len(at):
+            return np.concatenate(used) if used else at
+        high, first = np.unique(np.maximum(a, b), return_index=True)
+        used.append(at[first])
+        root[high] = np.minimum(a, b)[first]
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
 def _cell(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20) & np.uint64(CELLS - 1)).astype(np.int64)
 
 
+def _numbers(column: pa.ChunkedArray) -> np.ndarray:
+    """Equal values as equal small numbers."""
+    return column.combine_chunks().dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
 class Join:
     """The join over one table of documents. ``members()`` has a row per document row; ``links`` the verified links that hold the groups together."""
 
@@ -250,52 +289,148 @@ class Join:
         shared = stash(heavy.groupBy("h").agg(F.count("*").alias("k")).where("k > 1"), "shared")
         release(self.spark)
         rest = F.col("n") - F.least("n", self._prefix("n") + MORE_ENTRIES)
+        lists = stash(heavy.join(shared.hint("shuffle_hash"), "h").withColumn("root", F.col("node")), "lists")
+        unstash(entries)
+        n_entries = lists.count()
+        heads = stash(lists.groupBy("node", "n").agg(F.collect_list("h").alias("hs")).withColumn("rest", rest), "heads")
         tested = None
-        for scan in range(HUB_SCANS + 1):
+        for scan, (tries, hubs) in enumerate(HUBS):
             release(self.spark)
-            tries, hubs = HUBS[min(scan, len(HUBS) - 1)]
-            if not scan:
-                lists, last = stash(heavy.join(shared.hint("shuffle_hash"), "h").withColumn("root", F.col("node")), "lists"), False
-                unstash(entries)
-                n_entries = lists.count()
-                heads = stash(lists.groupBy("node", "n").agg(F.collect_list("h").alias("hs")).withColumn("rest", rest), "heads")
-            else:
-                roots = few(stash(connected_components(links).withColumnRenamed("id", "node"), "roots"), BROADCAST_IDS)
-                rooted = stash(lists.select("h", "node", "n", "place").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"), "rooted")
-                by_root = rooted.groupBy("h", "root").agg(F.count("*").alias("k"))
-                open_lists = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-                open_lists = stash(open_lists.where("roots > 1").select("h", "k", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("cross")), "open")
-                size = open_lists.agg(F.count("*"), F.sum("cross"), F.sum("k")).first()
-                if not size[0]:
+            if scan:
+                lists, cross = self._open(lists, links)
+                if cross <= PAIRS_PER_ENTRY * n_entries:  # pair by pair as soon as the pairs of different components are few for the entries
                     break
-                # Pair by pair as soon as the pairs of different components are few for the entries.
-                last = scan == HUB_SCANS or size[1] <= PAIRS_PER_ENTRY * n_entries
-                unstash(lists)
-                lists = stash(rooted.join(open_lists.select("h", "k"), "h"), "lists")
-                unstash(rooted)
-            if last:
-                # Two sets meet at the first entry that they share, where there must be room for a link.
-                before = F.collect_list("h").over(W.partitionBy("node").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
-                lists = stash(lists.withColumn("before", before), "lists")
-                pairs = lists.alias("a").join(lists.alias("b"), "h").where((F.col("a.root") < F.col("b.root")) & self._fits("a", "b", 0) & ~F.arrays_overlap("a.before", "b.before"))
-                pairs = pairs.select(F.col("a.node").alias("x"), F.col("b.node").alias("y"), F.lit(1).alias("common"))
-            else:
-                # About `hubs` members of a list, the same ones wherever they stand; of long lists an eighth is enough, since like sets share many.
-                used = lists.where((F.col("k") <= hubs) | (F.pmod(F.xxhash64("h", F.lit(scan)), F.lit(8)) == 0))
-                hub = used.where(F.pmod(F.xxhash64("node", F.lit(scan)), F.lit(1 << 20)) * F.col("k") < hubs << 20)
-                pairs = used.alias("a").join(hub.alias("b"), "h").where((F.col("a.root") != F.col("b.root")) & self._fits("a", "b", MORE_ENTRIES))
-                pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("common"))
+            # About `hubs` members of a list, the same ones wherever they stand; of long lists an eighth is enough, since like sets share many.
+            used = lists.where((F.col("k") <= hubs) | (F.pmod(F.xxhash64("h", F.lit(scan)), F.lit(8)) == 0))
+            hub = used.where(F.pmod(F.xxhash64("node", F.lit(scan)), F.lit(1 << 20)) * F.col("k") < hubs << 20)
+            pairs = used.alias("a").join(hub.alias("b"), "h").where((F.col("a.root") != F.col("b.root")) & self._fits("a", "b", MORE_ENTRIES))
+            pairs = pairs.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.count("*").alias("common"))
             pairs = pairs.select("x", "common", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            # A few comparisons for each set: with the hubs that it shares most entries with.
+            pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy("x").orderBy(F.desc("common"), "a", "b"))).where(F.col("rank") <= tries).drop("rank")
             if tested is not None:
                 pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            if not last:  # a few comparisons for each set: with the hubs that it shares most entries with
-                pairs = pairs.withColumn("rank", F.row_number().over(W.partitionBy("x").orderBy(F.desc("common"), "a", "b"))).where(F.col("rank") <= tries)
             fresh = stash(pairs.select("a", "b").distinct(), "pairs")
             links = stash(links.unionByName(self.verify(stash(self.possible(fresh, heads), "possible"))), "links")
             tested = fresh if tested is None else tested.unionByName(fresh)
-            if last:
-                break
-        return links
+        else:  # not left early
+            lists, _ = self._open(lists, links)
+        # Two sets meet at the first short list that they share, where there must be room for a link.
+        before = F.collect_list("h").over(W.partitionBy("node").orderBy("place").rowsBetween(W.unboundedPreceding, -1))
+        short = stash(lists.where(F.col("k") <= SHORT).withColumn("before", before), "short")
+        pairs = short.alias("a").join(short.alias("b"), "h").where((F.col("a.root") < F.col("b.root")) & self._fits("a", "b", 0) & ~F.arrays_overlap("a.before", "b.before"))
+        pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+        fresh = stash(pairs.join(tested, ["a", "b"], "left_anti").distinct(), "pairs")
+        links = stash(links.unionByName(self.verify(stash(self.possible(fresh, heads), "possible"))), "links")
+        unstash(short)
+        return self.sweep(lists.where(F.col("k") > SHORT), links)
+
+    def _open(self, lists: DataFrame, links: DataFrame) -> tuple[DataFrame, int]:
+        """The lists that hold sets of several components, as they are after the links, and the number of pairs of different components."""
+        roots = few(stash(connected_components(links).withColumnRenamed("id", "node"), "roots"), BROADCAST_IDS)
+        rooted = stash(lists.drop("k", "size", "root").join(roots, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component"), "rooted")
+        by_root = rooted.groupBy("h", "root").agg(F.count("*").alias("k"), F.sum("n").alias("size"))
+        still = by_root.groupBy("h").agg(F.count("*").alias("roots"), F.sum("k").alias("k"), F.sum("size").alias("size"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        still = stash(still.where("roots > 1").select("h", "k", "size", ((F.col("k") * F.col("k") - F.col("kk")) / 2).alias("cross")), "open")
+        out = stash(rooted.join(still.select("h", "k", "size"), "h"), "lists")
+        unstash(lists)
+        unstash(rooted)
+        return out, still.agg(F.sum("cross")).first()[0] or 0
+
+    def marks(self, nodes: DataFrame) -> DataFrame:
+        """(node, bitmap) of the nodes."""
+        n = self.n
+        docs = self.docs.withColumnRenamed("id", "node").join(bounded(nodes, BROADCAST_IDS), "node", "left_semi")
+
+        def make():
+            return lambda batch, _valid: [[parity_bits(x) for x in element_sets(batch, n)]]
+
+        return annotate(docs, "text", [("bits", T.BinaryType())], make, ["node"]).dropDuplicates(["node"])
+
+    def sweep(self, lists: DataFrame, links: DataFrame) -> DataFrame:
+        """The links with those that hold together the linked sets of long lists."""
+        lists = stash(lists, "long")
+        if lists.isEmpty():
+            return links
+        percent, id_type = self.percent, self.id_type
+        marks = stash(self.marks(lists.select("node").distinct()), "marks")
+        schema = T.StructType([T.StructField("h", T.LongType()), T.StructField("a", id_type), T.StructField("b", id_type)])
+
+        def forest(table: pa.Table) -> pa.Table:
+            table = table.combine_chunks()
+            nodes, side = table.column("node").combine_chunks(), table.column("side").to_numpy()
+            n, place = table.column("n").to_numpy().astype(np.int64), table.column("place").to_numpy().astype(np.int64)
+            same = int(table.column("i")[0].as_py()) == int(table.column("j")[0].as_py())
+            root = _numbers(table.column("root"))
+            parts = np.arange(int(root.max()) + 1)
+            false = {}
+            for row, x in enumerate(table.column("false").to_pylist()):
+                if x:
+                    false[row] = set(x)
+            bits = table.column("bits").to_pylist()
+            width = np.array([len(x) for x in bits], np.int64)
+            a, b = [], []
+            for w in np.unique(width):
+                # Sets with bitmaps of this size meet each other and, folded, those with the next larger ones.
+                own, next_ = np.flatnonzero(width == w), np.flatnonzero(width == 2 * w)
+                rows = np.concatenate([own, next_])
+                maps = np.empty((len(rows), w // 8), np.uint64)
+                for k, r in enumerate(rows.tolist()):
+                    x = np.frombuffer(bits[r], np.uint64)
+                    maps[k] = x if len(x) * 8 == w else x[: len(x) // 2] ^ x[len(x) // 2 :]
+                kind = np.r_[np.zeros(len(own), bool), np.ones(len(next_), bool)]
+                left = np.arange(len(rows)) if same else np.flatnonzero(side[rows] == 0)
+                right = np.arange(len(rows)) if same else np.flatnonzero(side[rows] == 1)
+                step = max(1, SWEEP_WORDS // max(1, len(right) * (w // 8)))
+                for at in range(0, len(left), step):
+                    x = left[at : at + step]
+                    r, t = rows[x][:, None], rows[right][None, :]
+                    both = n[r] + n[t]
+                    least = -(-percent * both // (100 + percent))
+                    room = np.minimum(n[r] - place[r], n[t] - place[t])
+                    ok = (root[r] != root[t]) & (room >= least) & ~(kind[x][:, None] & kind[right][None, :])
+                    if same:
+                        ok &= r < t
+                    i, j = np.nonzero(ok)
+                    for lo in range(0, len(i), step * len(right) or 1):
+                        p, q = i[lo : lo + step * len(right)], j[lo : lo + step * len(right)]
+                        apart = np.bitwise_count(maps[x[p]] ^ maps[right[q]]).sum(axis=1, dtype=np.int64)
+                        close = apart <= (both - 2 * least)[p, q]
+                        p, q = rows[x[p[close]]], rows[right[q[close]]]
+                        if false:
+                            known = np.fromiter((u in false and nodes[v].as_py() in false[u] or v in false and nodes[u].as_py() in false[v] for u, v in zip(p.tolist(), q.tolist(), strict=True)), bool, len(p))
+                            p, q = p[~known], q[~known]
+                        edges = span(parts, root[p], root[q])
+                        a.append(p[edges])
+                        b.append(q[edges])
+            a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+            return pa.table({"h": table.column("h").combine_chunks().take(pa.array(a)), "a": nodes.take(pa.array(a)), "b": nodes.take(pa.array(b))})
+
+        false, wrong = None, None
+        while True:
+            rows = lists.join(marks, "node")
+            if false is None:
+                rows = rows.withColumn("false", F.array().cast(T.ArrayType(id_type)))
+            else:
+                rows = rows.join(false, "node", "left")
+            pieces = F.ceil(F.greatest(F.col("k") / PIECE, F.col("size") / PIECE_ELEMENTS)).cast("int")
+            own = F.pmod(F.xxhash64("node", F.lit("piece")), pieces).cast("int")
+            rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), pieces - 1)))
+            rows = rows.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "n", "place", "root", "bits", "false")
+            found = stash(rows.groupBy("h", "i", "j").applyInArrow(forest, schema), "found")
+            release(self.spark)
+            found = stash(found.select("h", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), "found")
+            fresh = stash(found.select("a", "b").distinct(), "pairs")
+            if fresh.isEmpty():
+                return links
+            good = self.verify(fresh)
+            links = stash(links.unionByName(good), "links")
+            bad = stash(found.join(good, ["a", "b"], "left_anti"), "bad")
+            if bad.isEmpty():
+                return links
+            wrong = bad if wrong is None else stash(wrong.unionByName(bad), "wrong")
+            false = stash(wrong.groupBy(F.col("a").alias("node")).agg(F.collect_set("b").alias("false")), "false")
+            lists, _ = self._open(lists.join(bad.select("h").distinct(), "h", "left_semi"), links)
 
     def run(self) -> DataFrame:
         profile = stash(self.profile(), "profile")

@@ -73,6 +73,40 @@ def test_jaccard(spark, n, percent, seed):
     assert got == brute_jaccard(docs, n, percent)
 
 
+def loose_group(seed, members, words=150, edits=(1, 2, 3, 4, 5)):
+    """Copies of one text, most of them with too many changes to link with each other."""
+    rnd = random.Random(seed)
+    base, docs = [f"w{rnd.randrange(5000)}" for _ in range(words)], []
+    for i in range(members):
+        own = list(base)
+        for k in rnd.sample(range(words), rnd.choice(edits)):
+            own[k] = f"x{rnd.randrange(10**6)}"
+        docs.append((i, " ".join(own)))
+    return docs
+
+
+@pytest.mark.parametrize(("short", "piece", "elements"), [(2, 2048, 1 << 20), (4, 40, 9000)])
+def test_jaccard_sweeps(spark, monkeypatch, short, piece, elements):
+    """Groups whose members mostly don't link, swept in tasks, whole or in pieces."""
+    for name, value in (("SHORT", short), ("PIECE", piece), ("PIECE_ELEMENTS", elements), ("PAIRS_PER_ENTRY", 0)):
+        monkeypatch.setattr(jaccard, name, value)
+    docs = loose_group(short, 150) + [(i + 1000, t) for i, t in loose_group(9, 60, 80, (0, 1, 2, 3))]
+    join = jaccard.Join(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85)
+    assert {r.id: (r.n_shingles, r.component_id) for r in join.run().collect()} == brute_jaccard(docs, 4, 85)
+
+
+def test_parity_bits():
+    rnd = np.random.default_rng(3)
+    for n in (0, 1, 60, 65, 900):
+        a = rnd.integers(0, 2**63, n).astype(np.uint64)
+        b = np.concatenate([a[: n // 2], rnd.integers(0, 2**63, n // 3).astype(np.uint64)])
+        x, y = (np.frombuffer(jaccard.parity_bits(v), np.uint64) for v in (a, b))
+        while len(x) > len(y):
+            x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+        apart = int(np.bitwise_count(x ^ y).sum())
+        assert apart <= len(set(a.tolist()) ^ set(b.tolist())) and apart % 2 == (len(a) + len(b)) % 2
+
+
 def test_jaccard_boundary_and_subsets():
     for percent in (70, 80, 85, 95):
         for n in range(1, 40):

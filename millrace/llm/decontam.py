@@ -7,8 +7,8 @@ that follow each other on one diagonal make the longest verbatim matches.
 
 The items go to the executors in blocks of a bounded size; each block costs one pass over the documents,
 and nothing is shuffled. Null and empty texts have no words and are clean; an item without words has no
-window; repeated items and repeated documents count each for itself; empty tables give empty results or
-clean documents.
+window, and one with a null id can't be named and counts as absent; repeated items and repeated documents
+count each for itself; a very long text is a slice of its own; empty tables give empty results or clean documents.
 """
 
 from __future__ import annotations
@@ -163,6 +163,12 @@ def _worker(shared, window: int, before: bool):
     return work
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, column for column."""
-    return with_plain_names(docs, text_col, lambda d, text: find_benchmark(d, benchmark, text, item_col, item_text, window).where(~F.col("contaminated")))
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, short_items: bool = False) -> DataFrame:
+    """The documents, column for column, without those in which any window of any item occurs, however little of them it is.
+
+    Items of fewer than ``window`` words are one short window, often a common phrase; they remove documents only with ``short_items``.
+    """
+    if not short_items:
+        words = F.regexp_replace(F.col(item_text).cast("string"), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", " ")
+        benchmark = benchmark.where(F.size(F.split(F.trim(words), " ")) >= window)
+    return with_plain_names(docs, text_col, lambda d, text: find_benchmark(d, benchmark, text, item_col, item_text, window).where("n_hit = 0"))

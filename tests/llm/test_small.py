@@ -245,7 +245,10 @@ def test_benchmark(spark, block):
     assert got == want
     kept = decontam.drop_contaminated(odd(spark), bench)
     assert kept.columns == odd(spark).columns
-    assert {r.doc_id for r in kept.collect()} == {i for i in range(len(ODD)) if not want[i][3]}
+    assert {r.doc_id for r in kept.collect()} == {i for i in range(len(ODD)) if not brute_windows(docs, [x for x in items if len((x[1] or "").split()) >= 13])[i][1]}
+    long_only = brute_windows(docs, [x for x in items if len((x[1] or "").split()) >= 13])
+    assert {r.doc_id for r in decontam.drop_contaminated(df, bench).collect()} == {i for i, x in long_only.items() if not x[1]}
+    assert {r.doc_id for r in decontam.drop_contaminated(df, bench, short_items=True).collect()} == {i for i, x in want.items() if not x[1]}
     none = decontam.find_benchmark(df, bench.limit(0))
     assert none.where("contaminated or n_hit > 0").count() == 0 and decontam.find_benchmark(empty(spark), bench).count() == 0
 

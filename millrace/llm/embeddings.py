@@ -3,29 +3,26 @@
 For unit vectors, cosine >= c means a squared distance of at most 2 - 2c. A fixed rotation spreads that
 distance evenly over blocks of dimensions; if it is at most 2 - 2c in all, then it is at most its
 proportional share, (2 - 2c) * width / dimensions, in some block. Each block is range-joined under its share:
+its first dimensions are cut into cells as wide as the radius, and a cell's vectors meet those of the same and the
+adjacent cells only. How many dimensions are cut follows from the number of vectors, from a few hundred on.
+A pair counts in the first block whose share it keeps, and is verified there by cosine in double
+precision on the vectors as given; so the union of the blocks' candidates needs no further step.
 
-* The first few dimensions of a block are cut into cells at least as wide as twice the radius. A vector is
-  at home in one cell and visits the cells that its ball touches, so every pair within the radius meets in
-  both homes. How many dimensions are cut follows from the number of vectors of the label: none for a few
-  thousand vectors, where one cell is less work than its visitors would be.
-* A cell with more than ``CELL`` vectors is dealt out in pieces: every piece of homes meets every piece of
-  visitors, in a task of its own, so memory is bounded however many vectors fall into a cell.
-
-A task compares its vectors by the block's distance and verifies what remains exactly, by cosine in double
-precision on the vectors as given. A pair counts in the first block whose share it keeps, so the union
-of the blocks' candidates needs no further shuffle. Pairs aren't written out: a task returns numbers of links
-and, for components, a spanning set of links.
+Vectors travel whole and once for all blocks: a label's vectors are dealt into tiles of ``TILE`` at most, and
+a task has one tile or two, range-joins all blocks, and returns numbers of links and a spanning set of
+links instead of pairs. A label of one tile is not replicated at all; one of k tiles is sent k times, since at such a
+similarity the balls of most vectors reach into most cells, and sending them cell by cell would be more.
 
 Equal vectors of a label are one representative that counts for all of them. Vectors of different labels
 or with a null label, null or zero vectors, and vectors with null or non-finite components link with
-nothing; vectors of different lengths don't link with each other. A vec_id that is repeated counts as often as it stands there.
-An empty table gives an empty table.
+nothing; vectors of different lengths don't link with each other. Rows that repeat a vec_id are vectors of
+their own, with links of their own, but share their component. A row without a vec_id links with nothing. An
+empty table gives an empty table; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +33,10 @@ from pyspark.sql import types as T
 from .common import connected_components, stash
 
 BLOCKS = 8
-#: Vectors of one cell in a task, of each side.
-CELL = 4096
-#: Room for rounding in block distances, which only choose candidates.
-SLACK = 1e-6
-MAX_CUT = 6
+#: Vectors of a tile, and of a cell, about; pairs compared at a time.
+TILE, CELL, PAIRS = 1 << 14, 64, 1 << 18
+#: Room for rounding in block distances, which are in single precision and only choose candidates.
+SLACK = 4e-6
 
 
 def rotation(dims: int, seed: int = 11) -> np.ndarray:
@@ -68,39 +64,78 @@ def shares(dims: int, edges: np.ndarray, least: float) -> np.ndarray:
     return (2 - 2 * least) * np.diff(edges) / dims + SLACK
 
 
-def cuts(count: int, cell: int = CELL) -> int:
-    """Dimensions to cut for a label of ``count`` vectors: a cut divides the comparisons by about 2.5."""
+def cut(count: int, width: int, cell: int = CELL) -> int:
+    """Dimensions to cut for so many vectors; a dimension has about five cells."""
     n = 0
-    while count > 4 * cell * 2.5**n and n < MAX_CUT:
+    while n < width and count >= cell * 5 ** (n + 1):
         n += 1
     return n
 
 
-def compare(x: np.ndarray, y: np.ndarray, block: int, least: float, blocks: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Indexes of linked pairs of rows of x and y that belong to this block, a few rows of x at a time."""
+def adjacent(x: np.ndarray, y: np.ndarray, radius: float, depth: int, same: bool) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """Cell by cell over the first ``depth`` dimensions: rows of x in it, rows of y in the same and the adjacent cells, and how many of these are those of x.
+
+    If y is x (``same``), those come first, and of two adjacent cells only the first one meets the other.
+    """
+    if not depth:
+        yield np.arange(len(x)), np.arange(len(y)), len(x) if same else 0
+        return
+    wide = radius * 1.00001
+    own, other = (np.floor(v[:, :depth] / wide).astype(np.int64) for v in (x, y))
+    base = np.minimum(own.min(axis=0), other.min(axis=0)) - 1
+    span = np.maximum(own.max(axis=0), other.max(axis=0)) + 2 - base
+    weight = np.cumprod(np.r_[1, span[::-1]])[:-1][::-1]
+    own, other = (own - base) @ weight, (other - base) @ weight
+    # The last dimension's three cells follow each other; the others' neighbours are so many ranges.
+    steps = [0]
+    for w in weight[:-1].tolist():
+        steps = [s + k * w for s in steps for k in (-1, 0, 1)]
+    steps = np.array(sorted((s for s in steps if s >= 0), key=abs) if same else steps)
+    order_x, order_y = np.argsort(own, kind="stable"), np.argsort(other, kind="stable")
+    own, other = own[order_x], other[order_y]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    low = np.searchsorted(other, own[first][:, None] + steps - np.where(same & (steps == 0), 0, 1), "left")
+    high = np.searchsorted(other, own[first][:, None] + steps + 1, "right")
+    for k, (a, b) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(own)], strict=True)):
+        parts = [order_y[i:j] for i, j in zip(low[k].tolist(), high[k].tolist(), strict=True) if i < j]
+        if parts:
+            yield order_x[a:b], np.concatenate(parts), b - a if same else 0
+
+
+def compare(x: np.ndarray, y: np.ndarray, least: float, blocks: int = BLOCKS, same: bool = False, cell: int = CELL) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Indexes of linked pairs of rows of x and y, each pair once; ``same``: y is x."""
     dims = x.shape[1]
     edges = block_edges(dims, blocks)
     share, turn = shares(dims, edges, least), rotation(dims)
-    u, v = unit(x) @ turn, unit(y) @ turn
-    a, b = u[:, edges[block] : edges[block + 1]], v[:, edges[block] : edges[block + 1]]
-    bb = (b * b).sum(axis=1)
-    step = max(1, (1 << 20) // max(1, len(y)))
-    for at in range(0, len(x), step):
-        part = a[at : at + step]
-        near = (part * part).sum(axis=1)[:, None] + bb - 2 * (part @ b.T) <= share[block]
-        i, j = np.nonzero(near)
-        i = i + at
-        for lo in range(0, len(i), 1 << 16):
-            p, q = i[lo : lo + (1 << 16)], j[lo : lo + (1 << 16)]
-            ok = np.ones(len(p), bool)
-            if same:
-                ok &= p != q
-            for e in range(block):  # an earlier block has this pair
-                d = u[p, edges[e] : edges[e + 1]] - v[q, edges[e] : edges[e + 1]]
-                ok &= (d * d).sum(axis=1) > share[e]
-            p, q = p[ok], q[ok]
-            linked = cosines(x[p], y[q]) >= least
-            yield p[linked], q[linked]
+    u = (unit(x) @ turn).astype(np.float32)
+    v = u if same else (unit(y) @ turn).astype(np.float32)
+    for block in range(len(edges) - 1):
+        a, b = u[:, edges[block] : edges[block + 1]], v[:, edges[block] : edges[block + 1]]
+        one = np.float32(1)
+        # One product gives |a|^2 + |b|^2 - 2ab.
+        left = np.column_stack([a, (a * a).sum(axis=1), np.full(len(a), one)])
+        right = np.column_stack([-2 * b, np.full(len(b), one), (b * b).sum(axis=1)])
+        for rows, cols, mine in adjacent(a, b, float(np.sqrt(share[block])), cut(max(len(x), len(y)), a.shape[1], cell), same):
+            there = np.ascontiguousarray(right[cols].T)
+            step = max(1, PAIRS // len(cols))
+            for at in range(0, len(rows), step):
+                part = rows[at : at + step]
+                near = np.flatnonzero(left[part] @ there <= np.float32(share[block] + SLACK))
+                if not len(near):
+                    continue
+                i, j = np.divmod(near, len(cols))
+                p, q = part[i], cols[j]
+                if mine:
+                    keep = (j >= mine) | (p < q)
+                    p, q = p[keep], q[keep]
+                for lo in range(0, len(p), 1 << 16):
+                    s, t = p[lo : lo + (1 << 16)], q[lo : lo + (1 << 16)]
+                    for e in range(block + 1):  # in this block, and in no earlier one
+                        d = (u[s, edges[e] : edges[e + 1]] - v[t, edges[e] : edges[e + 1]]).astype(np.float64)
+                        inside = (d * d).sum(axis=1) <= share[e]
+                        s, t = (s[inside], t[inside]) if e == block else (s[~inside], t[~inside])
+                    linked = cosines(x[s], y[t]) >= least
+                    yield s[linked], t[linked]
 
 
 class Forest:
@@ -121,78 +156,49 @@ class Forest:
                 self.root = self.root[self.root]
 
 
-def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks: int = BLOCKS, cell: int = CELL) -> DataFrame:
+def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks: int = BLOCKS, tile: int = TILE, cell: int = CELL) -> DataFrame:
     """One row per vector row: id, ``n_links``, ``component_id`` and ``kept``."""
-    spark, most = vectors.sparkSession, cell
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
+    kind = vectors.schema[vector_col].dataType
+    wide = "float" if isinstance(getattr(kind, "elementType", None), T.FloatType) else "double"  # nothing is lost by keeping single precision as it is
+    rows = vectors.select(F.col(id_col).alias("id"), F.transform(F.col(vector_col).cast(f"array<{wide}>"), lambda x: x + F.lit(0).cast(wide)).alias("v"), F.col(label_col).cast("string").alias("label"))
     good = F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.col("id").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = stash(rows.withColumn("key", F.when(F.coalesce(good, F.lit(False)), F.sha2(F.to_json(F.struct("label", F.transform("v", lambda x: x + 0.0).alias("v"))).cast("binary"), 256))), "vectors")
-    usable = rows.where("key is not null")
-    nodes = stash(usable.groupBy("key").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "nodes")
-    kinds = {(r.label, r.dims): r.k for r in usable.groupBy("label", F.size("v").alias("dims")).agg(F.count("*").alias("k")).collect()} if not nodes.isEmpty() else {}
-    plan = spark.sparkContext.broadcast(kinds)
-    id_type, id_field = rows.schema["id"].dataType, "node"
-    chiefs = usable.join(nodes, "key").where("id = node").dropDuplicates(["key"]).select("node", "copies", "label", "v")
-    placed = T.StructType([T.StructField("cell", T.StringType()), T.StructField("home", T.BooleanType()), T.StructField(id_field, id_type), T.StructField("copies", T.LongType()), T.StructField("block", T.IntegerType()), T.StructField("v", T.ArrayType(T.DoubleType()))])
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[] for _ in range(4)]  # cell, home, row, block
-            lists, labels = batch.column("v"), batch.column("label").to_pylist()
-            flat, sizes = lists.flatten().to_numpy(), lists.value_lengths().to_numpy()
-            starts = np.cumsum(sizes) - sizes
-            for dims in np.unique(sizes):
-                which = np.flatnonzero(sizes == dims)
-                u = unit(flat[starts[which][:, None] + np.arange(dims)]) @ rotation(int(dims))
-                edges = block_edges(int(dims), blocks)
-                share = shares(int(dims), edges, least)
-                for b in range(len(edges) - 1):
-                    wide = 2 * np.sqrt(share[b]) * 1.001
-                    for i, row in enumerate(which.tolist()):
-                        depth = min(cuts(plan.value[labels[row], int(dims)], most), int(edges[b + 1] - edges[b]))
-                        at = u[i, edges[b] : edges[b] + depth] / wide
-                        home = np.floor(at).astype(int)
-                        other = np.where(at - home < 0.5, home - 1, home + 1)
-                        for cell in product(*zip(home.tolist(), other.tolist(), strict=True)):
-                            for o, x in zip(out, (f"{labels[row]}|{dims}|{b}|{cell}", cell == tuple(home.tolist()), row, b), strict=True):
-                                o.append(x)
-            take = pa.array(out[2], pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.bool_()), batch.column("node").take(take), batch.column("copies").take(take), pa.array(out[3], pa.int32()), lists.take(take)], names=placed.names)
-
-    where = stash(chiefs.mapInArrow(place, placed), "placed")
-    load = stash(where.groupBy("cell").agg(F.sum(F.col("home").cast("long")).alias("homes"), F.count("*").alias("all")).where("homes > 0 and all > 1").select("cell", F.ceil(F.col("homes") / most).cast("int").alias("ph"), F.ceil(F.col("all") / most).cast("int").alias("pa")), "load")
-    dealt = where.join(load, "cell")
-    number = F.xxhash64("node", F.lit("deal"))
-    homes = dealt.where("home").withColumn("i", F.pmod(number, "ph").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("pa") - 1)))
-    sides = dealt.withColumn("j", F.pmod(number, "pa").cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("ph") - 1)))
-    tasks = homes.withColumn("side", F.lit(0)).unionByName(sides.withColumn("side", F.lit(1))).select("cell", "i", "j", "side", "node", "copies", "block", "v")
-    result = T.StructType([T.StructField("a", id_type), T.StructField("b", id_type), T.StructField("links", T.LongType())])
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    # Two hashes name a vector where rows find their representative; which vectors are equal is told by the vectors.
+    names = [F.when(F.col("good"), F.xxhash64(F.lit(seed), "label", "v")).alias(h) for seed, h in ((1, "h1"), (2, "h2"))]
+    rows = rows.select("id", "label", "v", *names)
+    nodes = stash(rows.where("h1 is not null").groupBy("h1", "h2", "label", "v").agg(F.min("id").alias("node"), F.count("*").alias("copies")), "vectors")
+    sizes = nodes.groupBy("label", F.size("v").alias("dims")).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("h1", "h2", F.lit("tile")), F.col("tiles")).cast("int")
+    dealt = nodes.withColumn("dims", F.size("v")).join(sizes, ["label", "dims"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    tasks = dealt.select("label", "dims", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "h1", "h2", "node", "copies", "v")
+    id_type = rows.schema["id"].dataType
+    result = T.StructType([T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("links", T.LongType()), T.StructField("a", id_type), T.StructField("b", id_type)])
 
     def join(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy()
+        table = table.combine_chunks()
         ids, copies = table.column("node").combine_chunks(), table.column("copies").to_numpy()
-        v = np.stack(table.column("v").to_numpy())
-        h, w = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(h) or not len(w):
-            return pa.table({"a": ids.slice(0, 0), "b": ids.slice(0, 0), "links": pa.array([], pa.int64())})
-        # Both sides may hold one vector: numbers by id, so that it isn't its own partner.
-        number = ids.dictionary_encode().indices.to_numpy()
-        links, forest = np.zeros(len(h), np.int64), Forest(int(number.max()) + 1)
-        for p, q in compare(v[h], v[w], int(table.column("block")[0].as_py()), least, blocks, False):
-            keep = number[h[p]] != number[w[q]]
-            p, q = p[keep], q[keep]
-            np.add.at(links, p, copies[w[q]])
-            forest.add(number[h[p]], number[w[q]])
-        distinct = ids.dictionary_encode().dictionary
-        moved = np.flatnonzero(forest.root != np.arange(len(forest.root)))
-        some = np.flatnonzero(links)
-        a = pa.concat_arrays([ids.take(pa.array(h[some])), distinct.take(pa.array(moved))])
-        b = pa.concat_arrays([pa.nulls(len(some), ids.type), distinct.take(pa.array(forest.root[moved]))])
-        return pa.table({"a": a, "b": b, "links": pa.array(np.r_[links[some], np.zeros(len(moved), np.int64)], pa.int64())})
-
-    found = stash(tasks.groupBy("cell", "i", "j").applyInArrow(join, result), "found")
+        lists = table.column("v").combine_chunks()
+        v = lists.flatten().to_numpy().reshape(len(ids), -1)
+        same = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+        side = table.column("side").to_numpy()
+        x, y = (np.arange(len(v)),) * 2 if same else (np.flatnonzero(side == 0), np.flatnonzero(side == 1))
+        links, forest = np.zeros(len(v), np.int64), Forest(len(v))
+        if len(x) and len(y):
+            for p, q in compare(v[x], v[y], least, blocks, same, cell):
+                p, q = x[p], y[q]
+                np.add.at(links, p, copies[q])
+                np.add.at(links, q, copies[p])
+                forest.add(p, q)
+        moved, some = np.flatnonzero(forest.root != np.arange(len(v))), np.flatnonzero(links)
+        at = pa.array(some)
+        h1, h2 = (pa.concat_arrays([table.column(h).combine_chunks().take(at), pa.nulls(len(moved), pa.int64())]) for h in ("h1", "h2"))
+        a, b = (pa.concat_arrays([pa.nulls(len(some), ids.type), ids.take(pa.array(k))]) for k in (moved, forest.root[moved]))
+        return pa.table({"h1": h1, "h2": h2, "links": pa.concat_arrays([pa.array(links[some]), pa.nulls(len(moved), pa.int64())]), "a": a, "b": b})
+
+    found = stash(tasks.groupBy("label", "dims", "i", "j").applyInArrow(join, result), "found")
     roots = stash(connected_components(found.where("b is not null")).withColumnRenamed("id", "node"), "roots")
-    degree = found.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
-    full = stash(nodes.join(degree, "node", "left").join(roots, "node", "left").select("key", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component_id")), "classes")
-    out = rows.select("id", "key").join(full, "key", "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    degree = found.where("links is not null").groupBy("h1", "h2").agg(F.sum("links").alias("links"))
+    full = nodes.drop("v", "label").join(degree, ["h1", "h2"], "left").join(roots, "node", "left")
+    full = stash(full.select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "node").alias("component")), "classes")
+    out = rows.select("id", "h1", "h2").join(full, ["h1", "h2"], "left").select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
     return out.withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))

@@ -10,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from millrace.llm import decontam, embeddings, jaccard, pii, substrings, toxicity
+from millrace.llm import embeddings, jaccard, pii, substrings, toxicity
+from test_small import brute_windows
 
 DATA = "/root/testdata/sf0.001"
 
@@ -195,14 +196,14 @@ def brute_vectors(rows, least):
     return {a: (links[a], groups.find(a), groups.find(a) == a) for a, _, _ in rows}
 
 
-@pytest.mark.parametrize("cell", [4096, 8])
-def test_embeddings(spark, cell):
+@pytest.mark.parametrize(("tile", "cell"), [(1 << 14, 64), (30, 2), (1 << 14, 1)])
+def test_embeddings(spark, tile, cell):
     rng = np.random.default_rng(cell)
     base = rng.normal(size=(40, 12))
     rows = [(i, (base[rng.integers(40)] + rng.normal(size=12) * rng.choice([0, 0.05, 0.2, 0.5])).tolist(), int(rng.integers(3))) for i in range(300)]
     rows += [(400, None, 1), (401, [0.0] * 12, 1), (402, [float("nan")] + [1.0] * 11, 1), (403, [None] + [1.0] * 11, 1), (404, [1.0] * 12, None), (405, [1.0] * 5, 1), (406, [2.0] * 5, 1), (407, [], 1), (408, [float("inf")] * 12, 2)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumn("copies", F.lit("mine"))
-    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df, 0.9, cell=cell).collect()}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.near_vectors(df, 0.9, tile=tile, cell=cell).collect()}
     assert got == brute_vectors(rows, 0.9)
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
@@ -229,10 +230,9 @@ def test_pipeline_stages(spark):
             want = brute_jaccard([(i, r.text) for i, r in now.items()], 5, 80)
             assert set(after) == {i for i in now if want[i][1] == i}
         elif k == 2:
-            items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
-            windows = decontam.Windows([(str(i), t.encode()) for i, t in items], 13)
-            hit = lambda t: decontam.search(windows, [t.encode()])[2]
-            assert set(after) >= {i for i, r in now.items() if not hit(r.text)} and len(after) < len(now)
+            items = [(str(r.item_id), r.text) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
+            want = brute_windows([(i, r.text) for i, r in now.items()], [x for x in items if len(x[1].split()) >= 13])
+            assert set(after) == {i for i, x in want.items() if not x[1]} and len(after) < len(now)
         elif k == 3:
             assert set(after) == set(now)
             for i, r in after.items():

@@ -86,7 +86,7 @@ def q5(b: DataFrame) -> DataFrame:
     counted = _count(b, "auction", 5000)
     # A full window leaves with its last row, the others at the end by key: that order fills the windows of 50.
     order = F.when(F.col("count") == 5000, F.col("window")).otherwise(F.lit(1 << 60))
-    return top_n(counted.withColumn("_full", order).withColumn("_key", F.col("auction").cast("string")).drop("window"), "count", 1, 50, ["_full", "_key"]).drop("_full", "_key")
+    return top_n(counted.withColumn("_full", order).withColumn("_key", F.col("auction").cast("string")).drop("window"), "count", 1, 50, ["_full", "_key"], dear=True).drop("_full", "_key")
 
 
 def q6(e: dict[str, DataFrame]) -> DataFrame:

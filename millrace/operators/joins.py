@@ -66,26 +66,40 @@ def interval_join(left: DataFrame, right: DataFrame, key: str, ts: str, window,
     return joined.select(*[c for c in left.columns if c != "_bucket"], *[F.col(f"_r_{c}").alias(name) for c, name in names.items()])
 
 
-def bounded_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, most: int, seq: str, columns: list[Column]) -> DataFrame:
+def bounded_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, most: int, seq: str, columns: list[Column], skewed: bool = False) -> DataFrame:
     """Joins one stream of two kinds of rows, each of which remembers its last ``most`` rows per key.
 
     A row meets the ``most`` rows of the other side that came last before it. ``seq`` orders both sides together. ``columns`` are taken from ``l`` and ``r``;
-    ``_seq`` and ``_with`` order the result as it would come out. Counting both sides by key gives every row the numbers of the rows it meets, so the join is on (key, number).
+    ``_seq`` and ``_with`` order the result as it would come out. One shuffle by key and one sort: the rows met are the last ones of the other side
+    that are not null, by lag. With ``skewed`` no key's rows have to fit in a task: rows are numbered by ranges, and the join is on (key, number).
     """
     if most < 1:
         raise ValueError("at least one row must be remembered")
-    l = left.select(F.col(left_key).alias("_k"), F.col(seq).alias("_seq"), F.struct(*left.columns).alias("l"))  # noqa: E741
-    r = right.select(F.col(right_key).alias("_k"), F.col(seq).alias("_seq"), F.struct(*right.columns).alias("r"))
-    both = l.unionByName(r, allowMissingColumns=True)
-    w = W.partitionBy("_k").orderBy("_seq").rowsBetween(W.unboundedPreceding, 0)
-    both = both.where(F.col("_k").isNotNull()).withColumn("_l", F.count("l").over(w)).withColumn("_r", F.count("r").over(w))
-    ls, rs = both.where(F.col("l").isNotNull()), both.where(F.col("r").isNotNull())
-    seen = lambda c: F.explode(F.when(F.col(c) > 0, F.sequence(F.greatest(F.col(c) - (most - 1), F.lit(1)), F.col(c))))
-    late_r = rs.select("_k", "_seq", "r", seen("_l").alias("_n")).join(ls.select("_k", F.col("_l").alias("_n"), "l", F.col("_seq").alias("_with")), ["_k", "_n"])
-    late_l = ls.select("_k", "_seq", "l", seen("_r").alias("_n")).join(rs.select("_k", F.col("_r").alias("_n"), "r", F.col("_seq").alias("_with")), ["_k", "_n"])
+    l = left.select(F.col(left_key).alias("_k"), F.col(seq).alias("_seq"), F.struct(F.col(seq).alias("_at"), F.struct(*left.columns).alias("v")).alias("l"))  # noqa: E741
+    r = right.select(F.col(right_key).alias("_k"), F.col(seq).alias("_seq"), F.struct(F.col(seq).alias("_at"), F.struct(*right.columns).alias("v")).alias("r"))
+    both = l.unionByName(r, allowMissingColumns=True).where(F.col("_k").isNotNull())
+    if skewed:
+        return _bounded_by_number(both, most).select("_seq", "_with", *columns)
+    seen = lambda c: F.array_compact(F.array(*[F.expr(f"lag({c}, {i}) IGNORE NULLS OVER (PARTITION BY _k ORDER BY _seq)") for i in range(1, most + 1)]))
+    met = both.withColumn("_ls", F.when(F.col("r").isNotNull(), seen("l"))).withColumn("_rs", F.when(F.col("l").isNotNull(), seen("r")))
+    late_r = met.where("r is not null").select("_seq", F.col("r.v").alias("r"), F.explode("_ls").alias("_o")).select("_seq", F.col("_o._at").alias("_with"), F.col("_o.v").alias("l"), "r")
+    late_l = met.where("l is not null").select("_seq", F.col("l.v").alias("l"), F.explode("_rs").alias("_o")).select("_seq", F.col("_o._at").alias("_with"), "l", F.col("_o.v").alias("r"))
     return late_r.unionByName(late_l).select("_seq", "_with", *columns)
 
 
+def _bounded_by_number(both: DataFrame, most: int) -> DataFrame:
+    """Numbers by key among all rows and among those of a side tell how many of the other side came before."""
+    from .ordering import number_rows, stored
+
+    all_rows = stored(number_rows(both, ["_seq"], "_n", key=["_k"], skewed=True), "numbered")
+    ls = stored(number_rows(all_rows.where("l is not null").select("_k", "_seq", "_n", F.col("l.v").alias("l")), ["_seq"], "_l", key=["_k"], skewed=True), "left")
+    rs = stored(number_rows(all_rows.where("r is not null").select("_k", "_seq", "_n", F.col("r.v").alias("r")), ["_seq"], "_r", key=["_k"], skewed=True), "right")
+    seen = lambda before: F.explode(F.when(before > 0, F.sequence(F.greatest(before - (most - 1), F.lit(1)), before)))
+    late_r = rs.select("_k", "_seq", "r", seen(F.col("_n") - F.col("_r")).alias("_o")).join(ls.select("_k", F.col("_l").alias("_o"), "l", F.col("_seq").alias("_with")), ["_k", "_o"])
+    late_l = ls.select("_k", "_seq", "l", seen(F.col("_n") - F.col("_l")).alias("_o")).join(rs.select("_k", F.col("_r").alias("_o"), "r", F.col("_seq").alias("_with")), ["_k", "_o"])
+    return late_r.unionByName(late_l)
+
+
 def side_lookup(df: DataFrame, table: DataFrame, key: str, table_key: str, value: str, name: str, default="") -> DataFrame:
     """Adds a value looked up in a table with one row per key; a miss gives the default."""
     t = table.select(F.col(table_key).alias("_key"), F.col(value).alias("_value"))

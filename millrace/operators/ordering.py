@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of this process only where that is unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; a folder of this process only where that is unset and Spark runs in this process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -26,17 +29,26 @@ def stored(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def number_rows(df: DataFrame, order_by: list[str | Column], name: str = "_rn", key: list[str] | None = None, skewed: bool = False) -> DataFrame:
+#: Rows that one task may number, where the caller says that the rows may be few.
+FEW_ROWS = 100_000
+
+
+def number_rows(df: DataFrame, order_by: list[str | Column], name: str = "_rn", key: list[str] | None = None, skewed: bool = False, dear: bool = False) -> DataFrame:
     """Adds 1, 2, 3, ... in the given order, by key if there is one. ``order_by`` must tell all rows apart.
 
     With a key, a window over the key's rows does it; with ``skewed`` or without a key, rows are dealt out by ranges of the
     order, numbered within their partition, and shifted by the number of rows in the partitions before, so that
-    neither all rows nor one key's rows have to fit in a task.
+    neither all rows nor one key's rows have to fit in a task. ``dear`` rows (of an aggregate, say) are stored first, so that
+    finding the ranges doesn't compute them twice; if they turn out to be at most FEW_ROWS, one window numbers them.
     """
     if not order_by:
         raise ValueError("rows have no order of their own: order_by is needed")
     if key and not skewed:
         return df.withColumn(name, F.row_number().over(W.partitionBy(*key).orderBy(*order_by)).cast("bigint"))
+    if dear:
+        df = stored(df, "dear")
+        if not key and df.count() <= FEW_ROWS:
+            return df.withColumn(name, F.row_number().over(W.orderBy(*order_by)).cast("bigint"))
     order = [F.col(k) for k in key or []] + [F.col(c) if isinstance(c, str) else c for c in order_by]
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
     placed = stored(ordered, "ordered")

@@ -18,9 +18,6 @@ from .streaming import ancestors, stamp, with_parents
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: Rows that the generated workload has here.
-GENERATED = 60_000
-
 
 def query(sql: str | None = None, name: str | None = None):
     def add(fn):
@@ -84,9 +81,9 @@ def set_intersect(spark, d):
     return ops.intersect_all(t(spark, d, "customer").select(F.col("c_custkey").alias("k")), t(spark, d, "orders").select(F.col("o_custkey").alias("k")))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT ALL SELECT o_custkey FROM orders")
+@query("SELECT o_custkey AS k FROM orders EXCEPT ALL SELECT c_custkey FROM customer")
 def set_except(spark, d):
-    return ops.except_all(t(spark, d, "customer").select(F.col("c_custkey").alias("k")), t(spark, d, "orders").select(F.col("o_custkey").alias("k")))
+    return ops.except_all(t(spark, d, "orders").select(F.col("o_custkey").alias("k")), t(spark, d, "customer").select(F.col("c_custkey").alias("k")))
 
 
 @query("SELECT event_id, user_id // 7 AS a, user_id * 3 + 1 AS b, value / 4 AS c FROM events")
@@ -239,11 +236,11 @@ def assign_timestamps(spark, d):
 
 # Joins
 
-_CUSTOMER = "(SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey % 3 <> 0)"
+_CUSTOMER = "(SELECT c_custkey, c_name, c_mktsegment FROM customer)"
 
 
 def _dim(spark, d, how, **more):
-    c = t(spark, d, "customer").where("c_custkey % 3 <> 0")
+    c = t(spark, d, "customer")
     o = t(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
     return ops.hash_join(o, c, "o_custkey", "c_custkey", {"c_name": "name", "c_mktsegment": "segment"}, how, build_order=["c_name"], **more)
 
@@ -268,9 +265,40 @@ def dim_join_last(spark, d):
     return ops.hash_join(t(spark, d, "orders").select("o_orderkey", "o_custkey"), t(spark, d, "lineitem"), "o_orderkey", "l_orderkey", {"l_partkey": "part"}, build_order=["l_linenumber", "l_partkey"])
 
 
-@query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_URGENT = "(SELECT * FROM orders WHERE o_orderpriority = '1-URGENT')"
+
+
+def _urgent(spark, d, how):
+    urgent = t(spark, d, "orders").where("o_orderpriority = '1-URGENT'")
+    return ops.hash_join(t(spark, d, "customer").select("c_custkey"), urgent, "c_custkey", "o_custkey", {}, how, multi=True)
+
+
+@query(f"SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM {_URGENT} WHERE o_custkey = c_custkey)")
 def anti_join(spark, d):
-    return ops.hash_join(t(spark, d, "customer").select("c_custkey"), t(spark, d, "orders"), "c_custkey", "o_custkey", {}, "left_anti", multi=True)
+    return _urgent(spark, d, "left_anti")
+
+
+@query(f"SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM {_URGENT} WHERE o_custkey = c_custkey)")
+def semi_join(spark, d):
+    return _urgent(spark, d, "left_semi")
+
+
+@query("SELECT c_custkey, c_name, s_name AS supplier FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 2")
+def full_join(spark, d):
+    s = t(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("k"), "s_name")
+    return ops.hash_join(t(spark, d, "customer").select("c_custkey", "c_name"), s, "c_custkey", "k", {"s_name": "supplier"}, "full", multi=True)
+
+
+@query("SELECT c_custkey, c_name, s_name AS supplier FROM customer RIGHT JOIN supplier ON c_custkey = s_suppkey * 2")
+def right_join(spark, d):
+    s = t(spark, d, "supplier").select((F.col("s_suppkey") * 2).alias("k"), "s_name")
+    return ops.hash_join(t(spark, d, "customer").select("c_custkey", "c_name"), s, "c_custkey", "k", {"s_name": "supplier"}, "right", multi=True)
+
+
+@query("SELECT o_orderpriority, o_orderstatus, count(*) AS count, round(stddev_samp(o_totalprice), 3) AS deviation, round(median(o_totalprice), 4) AS middle FROM orders GROUP BY ALL ORDER BY 1, 2")
+def sorted_spread(spark, d):
+    values = [F.count("*").alias("count"), F.round(F.stddev("o_totalprice"), 3).alias("deviation"), F.round(F.median("o_totalprice"), 4).alias("middle")]
+    return ops.group_by(t(spark, d, "orders"), ["o_orderpriority", "o_orderstatus"], values, ordered=True)
 
 
 _INTERVAL = "SELECT l.user_id, l.event_id, l.ts, r.event_id AS event_id_r, r.ts AS ts_r FROM (SELECT * FROM events WHERE event_type = 'click') l JOIN (SELECT * FROM events WHERE event_type = 'purchase') r ON l.user_id = r.user_id AND abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 7200000000"
@@ -302,9 +330,9 @@ def mixed_join_bounded(spark, d):
     return ops.bounded_join(l, r, "user_id", "user_id", 2, "seq", [F.col("l.user_id"), F.col("l.event_id").alias("click"), F.col("r.event_id").alias("purchase")]).drop("_seq", "_with")
 
 
-@query("SELECT c_custkey, coalesce(n_name, '') AS nation FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey < 3) ON c_nationkey = n_nationkey")
+@query("SELECT c_custkey, coalesce(n_name, '') AS nation FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey")
 def side_lookup(spark, d):
-    return ops.side_lookup(t(spark, d, "customer").select("c_custkey", "c_nationkey"), t(spark, d, "nation").where("n_regionkey < 3"), "c_nationkey", "n_nationkey", "n_name", "nation").select("c_custkey", "nation")
+    return ops.side_lookup(t(spark, d, "customer").select("c_custkey", "c_nationkey"), t(spark, d, "nation"), "c_nationkey", "n_nationkey", "n_name", "nation").select("c_custkey", "nation")
 
 
 @query("SELECT p.user_id, p.event_id, c.value AS value_r FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT user_id, ts, arg_max(value, event_id) AS value FROM events WHERE event_type = 'click' GROUP BY ALL) c ON p.user_id = c.user_id AND p.ts >= c.ts")
@@ -330,12 +358,22 @@ def job_groupby(spark, d):
     return plans.build(spark, job).frame
 
 
-@query("SELECT event_id, value, CASE WHEN value >= 50 THEN 'high' ELSE 'low' END AS tier FROM events WHERE value >= 50 OR value <= 49")
+@query("SELECT event_id, user_id, value * 2 AS value, NULL AS scored, NULL AS seen FROM events WHERE event_type = 'view' UNION ALL SELECT event_id, user_id, value, value, NULL FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id, user_id, value, NULL, 'all' FROM events WHERE user_id <= 3")
 def job_branches(spark, d):
-    plans.register_source("events", lambda s, **_: t(s, d, "events").select("event_id", "value"))
-    ends = [{"label": f"{k}", "op": "filter", "field": "value", "cmp": c, "value": v, "next": [f"tag-{k}"]} for k, c, v in (("high", "gte", 50), ("low", "lte", 49))]
-    tags = [{"label": f"tag-{k}", "op": "map-set", "field": "tier", "value": k} for k in ("high", "low")]
-    job = {"name": "tiers", "source": {"type": "ref:events"}, "sink": {"type": "memory"}, "stages": [{"label": "all", "op": "to-rows", "next": ["high", "low"]}, *ends, *tags]}
+    plans.register_source("events", lambda s, **_: t(s, d, "events").select("event_id", "user_id", "event_type", "value"))
+    plans.register_operator("copy", lambda df, field, to: df.withColumn(to, F.col(field)))
+    plans.register_operator("without", lambda df, fields: df.drop(*fields))
+    stages = [
+        {"label": "start", "op": "to-batch", "next": ["views", "sales", "first"]},
+        {"label": "views", "op": "filter", "field": "event_type", "cmp": "eq", "value": "view", "next": ["double"]},
+        {"label": "double", "op": "vec-map", "field": "value", "arith": "mul", "value": 2, "next": ["out"]},
+        {"label": "sales", "op": "filter", "field": "event_type", "cmp": "eq", "value": "purchase", "next": ["score"]},
+        {"label": "score", "op": "ref:copy", "field": "value", "to": "scored", "next": ["out"]},
+        {"label": "first", "op": "vec-filter", "field": "user_id", "cmp": "lte", "value": 3, "next": ["seen"]},
+        {"label": "seen", "op": "map-set", "field": "seen", "value": "all", "next": ["out"]},
+        {"label": "out", "op": "ref:without", "fields": ["event_type"], "next": []},
+    ]
+    job = {"name": "fan", "source": {"type": "ref:events"}, "sink": {"type": "memory"}, "stages": stages}
     return plans.build(spark, job).frame
 
 
@@ -361,28 +399,37 @@ def memory_rows(spark, d):
     return memory(spark, [{"id": 1, "name": "a"}, {"id": 2, "name": "b"}])
 
 
-# The generated auction workload
+# The generated auction workload: as many rows as ``lineitem`` has
+
+_NUMBERS = "(SELECT row_number() OVER () - 1 AS i FROM lineitem)"
 
 _CH = "['Google','Facebook','Baidu','Apple','Amazon']"
-_B = f"(SELECT i AS _seq, i % 1000 AS auction, i % 10000 AS bidder, i * 97 % 100000 + 1 AS price, {_CH}[i % 5 + 1] AS channel, 'https://nexmark/' || {_CH}[i % 5 + 1] AS url, i + 1700000000000 AS dateTime, 'x' AS extra FROM range({GENERATED}) r(i))"
-_E = f"(SELECT p AS _seq, p % 50 AS slot, p // 50 AS b FROM range({GENERATED}) r(p))"
+_B = f"(SELECT i AS _seq, i % 1000 AS auction, i % 10000 AS bidder, i * 97 % 100000 + 1 AS price, {_CH}[i % 5 + 1] AS channel, 'https://nexmark/' || {_CH}[i % 5 + 1] AS url, i + 1700000000000 AS dateTime, 'x' AS extra FROM {_NUMBERS})"
+_E = f"(SELECT i AS _seq, i % 50 AS slot, i // 50 AS b FROM {_NUMBERS})"
 _PERSON = f"(SELECT _seq, b % 1000 AS id, 'person-' || {_CH}[b % 5 + 1] AS name, {_CH}[b % 5 + 1] AS city, ['OR','ID','CA','WA','NY','TX','FL','OH'][b % 1000 % 8 + 1] AS state FROM {_E} WHERE slot = 0)"
 _AUCTION = f"(SELECT _seq, i % 1000 AS id, i % 1000 AS seller, i % 10 AS category FROM (SELECT *, b * 3 + slot - 1 AS i FROM {_E} WHERE slot BETWEEN 1 AND 3))"
 _MBID = f"(SELECT _seq, i % 1000 AS auction, i % 1000 AS bidder, i * 97 % 100000 + 1 AS price FROM (SELECT *, b * 46 + slot - 4 AS i FROM {_E} WHERE slot > 3))"
 
 
 def _joined(left: str, lkey: str, right: str, rkey: str, m: int, columns: str) -> str:
-    return f"""(WITH l AS (SELECT *, {lkey} AS k FROM {left}), r AS (SELECT *, {rkey} AS k FROM {right}),
-u AS (SELECT k, _seq, 1 AS l, 0 AS r FROM l UNION ALL SELECT k, _seq, 0, 1 FROM r),
-c AS (SELECT _seq AS s, sum(l) OVER w AS lc, sum(r) OVER w AS rc FROM u WINDOW w AS (PARTITION BY k ORDER BY _seq)),
-lc AS (SELECT l.*, c.lc, c.rc FROM l JOIN c ON l._seq = c.s), rc AS (SELECT r.*, c.lc, c.rc FROM r JOIN c ON r._seq = c.s)
-SELECT greatest(lc._seq, rc._seq) AS _seq, least(lc._seq, rc._seq) AS _with, {columns} FROM lc JOIN rc ON lc.k = rc.k AND ((lc._seq < rc._seq AND lc.lc > rc.lc - {m}) OR (rc._seq < lc._seq AND rc.rc > lc.rc - {m})))"""
+    """Both sides are counted by key; a row meets those of the other side whose numbers are the last ``m`` before it."""
+    return f"""(WITH u AS MATERIALIZED (SELECT *, count(l) OVER w AS lc, count(r) OVER w AS rc FROM (
+SELECT {lkey} AS k, _seq, l, NULL AS r FROM {left} l UNION ALL SELECT {rkey}, _seq, NULL, r FROM {right} r) WINDOW w AS (PARTITION BY k ORDER BY _seq)),
+ls AS (SELECT k, _seq AS s, l, lc AS n, unnest(range(greatest(rc - {m - 1}, 1), rc + 1)) AS o FROM u WHERE l IS NOT NULL),
+rs AS (SELECT k, _seq AS s, r, rc AS n, unnest(range(greatest(lc - {m - 1}, 1), lc + 1)) AS o FROM u WHERE r IS NOT NULL),
+met AS (SELECT ls.s AS _seq, u._seq AS _with, ls.l AS lc, u.r AS rc FROM ls JOIN u ON u.k = ls.k AND u.rc = ls.o AND u.r IS NOT NULL
+UNION ALL SELECT rs.s, u._seq, u.l, rs.r FROM rs JOIN u ON u.k = rs.k AND u.lc = rs.o AND u.l IS NOT NULL)
+SELECT _seq, _with, {columns} FROM met)"""
 
 
 def _windowed(source: str, key: str, size: int, value: str, order: str = "_seq") -> str:
     return f'SELECT {key}, CAST((rn - 1) // {size} AS BIGINT) AS "window", {value} FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {order}) AS rn FROM {source}) GROUP BY 1, 2'
 
 
+def _rows(spark: SparkSession, d: str) -> int:
+    return t(spark, d, "lineitem").count()  # from the files' footers
+
+
 _BA = _joined(_MBID, "auction", _AUCTION, "id", 2, "lc.auction, lc.price, lc.bidder, rc.category, rc.seller")
 _NEXMARK = {
     "q0": f"SELECT * FROM {_B}",
@@ -396,6 +443,7 @@ SELECT auction, count, (rn - 1) // 50 AS "window", row_number() OVER (PARTITION
     "q7": f'SELECT _seq // 10000 AS "window", unnest(arg_max(struct_pack(auction := auction, bidder := bidder, price := price, channel := channel, url := url, dateTime := dateTime, extra := extra), price * 100000000 - _seq)) FROM {_B} GROUP BY 1',
     "q8": f"SELECT * FROM {_joined(_PERSON, 'id', _AUCTION, 'seller', 4, 'lc.id, lc.name, rc.id AS auction')}",
     "q9": _windowed(_BA, "auction", 1000, "max(price::DOUBLE) AS max", "_seq, _with"),
+    "q10": f"SELECT to_json(struct_pack(auction := auction, bidder := bidder, price := price, channel := channel, url := url, dateTime := dateTime, extra := extra))::VARCHAR AS line FROM {_B}",
     "q11": f"SELECT bidder, min(dateTime) AS dateTime, count(*) AS count FROM (SELECT *, sum(new) OVER (PARTITION BY bidder ORDER BY dateTime) AS sid FROM (SELECT *, CASE WHEN dateTime - lag(dateTime) OVER (PARTITION BY bidder ORDER BY dateTime) <= 30000 THEN 0 ELSE 1 END AS new FROM {_B})) GROUP BY bidder, sid",
     "q12": _windowed(_B, "bidder", 100, "count(*) AS count"),
     "q13": f"SELECT *, 'cat-' || (auction % 10) AS side FROM {_B}",
@@ -410,15 +458,15 @@ SELECT auction, count, (rn - 1) // 50 AS "window", row_number() OVER (PARTITION
     "q22": f"SELECT *, string_split(url, '/')[3] AS dir FROM {_B}",
 }
 for _name in [f"q{i}" for i in range(23)]:
-    query(_NEXMARK.get(_name), f"nexmark_{_name}")(lambda spark, d, n=_name: nexmark.run(spark, n, GENERATED))
+    query(_NEXMARK.get(_name), f"nexmark_{_name}")(lambda spark, d, n=_name: nexmark.run(spark, n, _rows(spark, d)))
 
 
 @query(f"SELECT dateTime // 10000 * 10000 AS dateTime, max(price) AS max_price FROM {_B} GROUP BY 1")
 def nexmark_q7_time(spark, d):
-    return nexmark.q7_time(nexmark.bids(spark, GENERATED))
+    return nexmark.q7_time(nexmark.bids(spark, _rows(spark, d)))
 
 
 @query(f"""WITH c AS (SELECT w AS dateTime, auction, count(*) AS count FROM (SELECT auction, unnest([b - 8000, b - 6000, b - 4000, b - 2000, b]) AS w FROM (SELECT *, dateTime // 2000 * 2000 AS b FROM {_B})) GROUP BY ALL)
 SELECT * FROM c QUALIFY count = max(count) OVER (PARTITION BY dateTime)""")
 def nexmark_q5_time(spark, d):
-    return nexmark.q5_time(nexmark.bids(spark, GENERATED))
+    return nexmark.q5_time(nexmark.bids(spark, _rows(spark, d)))

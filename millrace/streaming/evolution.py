@@ -17,8 +17,11 @@ def evolving_sink(registry: SchemaRegistry, id: str, sink: Callable[[DataFrame,
         schema = registry.latest(id)
         if payload:
             names = {f.name for f in schema.fields} | {f.alias for f in schema.fields if f.alias} | set((aliases or {}).values())
+            # One aggregate tells which of the fields any row has.
             there = F.json_object_keys(F.col(payload))
-            known = sorted(x for x in names if not df.where(F.array_contains(there, x)).isEmpty())
+            asked = sorted(names)
+            found = df.agg(*[F.max(F.array_contains(there, x)).alias(f"f{k}") for k, x in enumerate(asked)]).first() if asked else ()
+            known = [x for k, x in enumerate(asked) if found[k]]
             df = df.select(*[F.get_json_object(payload, f"$.{n}").alias(n) for n in known])
         sink(adapt(df, schema, aliases), batch)
 

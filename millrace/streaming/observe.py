@@ -14,10 +14,12 @@ class Progress(StreamingQueryListener):
 
     def __init__(self) -> None:
         self.figures: dict[str, dict] = {}
+        self._names: dict[str, str] = {}  # by run
         self._times: dict[str, deque] = {}
 
     def onQueryStarted(self, event) -> None:
-        self.figures[event.name or str(event.id)] = {"processed": 0, "errors": 0, "late": 0, "throughput": 0.0, "p50_ms": 0.0, "p99_ms": 0.0}
+        name = self._names[str(event.runId)] = event.name or str(event.id)
+        self.figures[name] = {"processed": 0, "errors": 0, "late": 0, "throughput": 0.0, "p50_ms": 0.0, "p99_ms": 0.0}
 
     def onQueryProgress(self, event) -> None:
         self.record(event.progress.name or str(event.progress.id), event.progress.numInputRows, event.progress.processedRowsPerSecond or 0.0, event.progress.batchDuration, sum(s.numRowsDroppedByWatermark for s in event.progress.stateOperators))
@@ -36,9 +38,9 @@ class Progress(StreamingQueryListener):
         pass
 
     def onQueryTerminated(self, event) -> None:
-        if event.exception:
-            for f in self.figures.values():
-                f["errors"] += 1
+        name = self._names.pop(str(event.runId), str(event.id))
+        if event.exception and name in self.figures:
+            self.figures[name]["errors"] += 1
 
 
 class Quarantine:
@@ -55,12 +57,20 @@ class Quarantine:
             df.write.mode("overwrite").json(f"{self.path}/_batch={batch:020d}")
 
 
+#: By figure: its name for Prometheus, kind, text and factor to base units.
+METRICS = {
+    "processed": ("rows_total", "counter", "Rows read.", 1.0), "errors": ("errors_total", "counter", "Runs that ended with an error.", 1.0), "late": ("late_rows_total", "counter", "Rows dropped as late.", 1.0),
+    "throughput": ("rows_per_second", "gauge", "Rows a second in the last batch.", 1.0), "p50_ms": ("batch_seconds_p50", "gauge", "Median duration of the last batches.", 0.001),
+    "p99_ms": ("batch_seconds_p99", "gauge", "99th percentile of the last batches' durations.", 0.001),
+}
+
+
 def prometheus(figures: dict[str, dict]) -> str:
-    """The figures in Prometheus' text form."""
-    kinds = {"processed": "counter", "errors": "counter", "late": "counter", "throughput": "gauge", "p50_ms": "gauge", "p99_ms": "gauge"}
+    """The figures in Prometheus' text form: names with units, seconds, escaped labels."""
+    label = lambda n: n.replace("\\", "\\\\").replace('"', '\\"').replace("\n", "\\n")
     out = []
-    for k, kind in kinds.items():
-        out += [f"# TYPE millrace_{k} {kind}", *(f'millrace_{k}{{stage="{n}"}} {f[k]}' for n, f in sorted(figures.items()))]
+    for k, (name, kind, text, factor) in METRICS.items():
+        out += [f"# HELP millrace_{name} {text}", f"# TYPE millrace_{name} {kind}", *(f'millrace_{name}{{stage="{label(n)}"}} {f[k] * factor:g}' for n, f in sorted(figures.items()))]
     return "\n".join(out) + "\n"
 
 

@@ -10,17 +10,18 @@ from millrace.cli import main
 from millrace.plans.spec import JobError
 from millrace.stream import Stream, run_all
 
-FRAUD = """
-name: cards
-source: {type: generator, fields: {amount: "rand:int:1:1000", id: "rand:int:1:40", kind: "choice:buy|refund", region: "choice:eu|us"}, rate: 3ms}
+METERS = """
+name: meters
+source: {type: generator, fields: {watts: "rand:float:0:300", meter: "rand:int:100:124", site: "choice:north|south|west", note: "row ${seq}"}, rate: 2ms}
 stages:
-  - {label: dedupe, op: dedup, next: [high, low], key: id, window: 1s}
-  - {label: high, op: filter, next: [tag-high], cmp: gte, field: amount, value: 500}
-  - {label: low, op: filter, next: [tag-low], cmp: lte, field: amount, value: 499}
-  - {label: tag-high, op: map-set, next: [rename], field: tier, value: high}
-  - {label: tag-low, op: map-set, next: [rename], field: tier, value: low}
-  - {label: rename, op: map-rename, next: [window], from: region, to: market}
-  - {label: window, op: tumbling, agg: "sum:amount", size: 40}
+  - {label: unit, op: vec-map, next: [peak, quiet, once], field: watts, arith: div, value: 1000}
+  - {label: peak, op: vec-filter, next: [by-site], cmp: gte, field: watts, value: 0.2}
+  - {label: by-site, op: vec-groupby, next: [mark], key: site, agg: "count, max:watts"}
+  - {label: mark, op: map-set, next: [], field: report, value: peaks}
+  - {label: quiet, op: vec-filter, next: [plain], cmp: lte, field: watts, value: 0.02}
+  - {label: plain, op: map-rename, next: [], from: note, to: remark}
+  - {label: once, op: dedup, next: [batches], key: meter, window: 50ms}
+  - {label: batches, op: tumbling, agg: count, size: 16}
 sink: {type: memory}
 """
 
@@ -30,12 +31,17 @@ def job(*stages, source=None):
 
 
 def test_generated_job_runs(spark):
-    built = plans.build(spark, FRAUD, bounded=200)
-    kept = built.stages["dedupe"].count()
-    assert 0 < kept <= 200 and built.stages["rename"].count() == kept
+    built = plans.build(spark, METERS, bounded=200)
+    at = built.stages
+    assert at["unit"].count() == 200 and at["unit"].where("watts > 0.3").count() == 0
+    sites = {r.site: (r["count"], r.max_watts) for r in at["by-site"].collect()}
+    want = {r.site: (r.n, r.m) for r in at["unit"].where("watts >= 0.2").groupBy("site").agg(F.count("*").alias("n"), F.max("watts").alias("m")).collect()}
+    assert sites == want and at["mark"].where("report = 'peaks'").count() == len(sites)
+    assert at["plain"].where("watts > 0.02 or remark not like 'row %'").count() == 0 and "note" not in at["plain"].columns
+    kept = at["once"].count()
+    assert 25 <= kept <= 200
     out = built.run()
-    assert len(out) == -(-kept // 40) and set(out[0]) == {"sum"}
-    assert built.stages["rename"].where(F.col("tier").isNull() | (F.col("tier") == "high") != (F.col("amount") >= 500)).count() == 0
+    assert len(out) == len(sites) + at["plain"].count() + -(-kept // 16)
 
 
 def test_group_by_job(spark):
@@ -96,10 +102,10 @@ def test_older_filter_form_and_wiring(spark):
 
 
 def test_graph_and_round_trip():
-    spec = plans.load(FRAUD)
-    assert "source[source] --> dedupe[dedupe]" in plans.render(spec) and "window[window] --> sink[sink]" in plans.render(spec)
-    assert '"dedupe" -> "high";' in plans.render(spec, "dot")
-    assert {"from": "high", "to": "tag-high"} in json.loads(plans.render(spec, "json"))["edges"]
+    spec = plans.load(METERS)
+    assert "source[source] --> unit[unit]" in plans.render(spec) and "batches[batches] --> sink[sink]" in plans.render(spec)
+    assert '"unit" -> "peak";' in plans.render(spec, "dot")
+    assert {"from": "peak", "to": "by-site"} in json.loads(plans.render(spec, "json"))["edges"]
     assert plans.load(plans.dump(spec)) == spec
     with pytest.raises(ValueError):
         plans.render(spec, "png")
@@ -116,15 +122,15 @@ def test_catalog_matches_lowering():
 
 def test_store_and_runner(spark, tmp_path):
     store = plans.JobStore(str(tmp_path))
-    store.save(FRAUD)
+    store.save(METERS)
     with pytest.raises(JobError):
         store.save("name: x")
     with pytest.raises(ValueError):
         store.text("../x")
-    assert store.names() == ["cards"]
+    assert store.names() == ["meters"]
     runner = plans.Runner(spark, store)
-    assert runner.start("cards", bounded=50).result() and runner.states() == {"cards": "finished"}
-    store.delete("cards")
+    assert runner.start("meters", bounded=50).result() and runner.states() == {"meters": "finished"}
+    store.delete("meters")
     assert store.names() == []
 
 
@@ -147,8 +153,8 @@ def test_references(spark):
 
 def test_cli(tmp_path, capsys):
     path = tmp_path / "j.yaml"
-    path.write_text(FRAUD)
-    assert main(["validate", str(path)]) == 0 and "7 stages" in capsys.readouterr().out
+    path.write_text(METERS)
+    assert main(["validate", str(path)]) == 0 and "8 stages" in capsys.readouterr().out
     assert main(["graph", str(path)]) == 0 and capsys.readouterr().out.startswith("graph LR")
     path.write_text("name: x")
     assert main(["validate", str(path)]) == 1

@@ -140,7 +140,7 @@ def test_observe(spark):
     for ms in range(1, 101):
         p.record("q", 10, 5.0, ms, late=1)
     assert p.figures["q"]["processed"] == 1000 and p.figures["q"]["late"] == 100 and p.figures["q"]["p50_ms"] == 51 and p.figures["q"]["p99_ms"] == 100
-    assert 'millrace_processed{stage="q"} 1000' in streaming.prometheus(p.figures)
+    assert 'millrace_rows_total{stage="q"} 1000' in streaming.prometheus(p.figures)
     e = streaming.stamp(spark.range(4), ["id"])
     g = streaming.with_parents(e, [F.col("id") % 2], F.count("*").alias("n"))
     assert g.select(F.size("_parents")).distinct().collect()[0][0] == 2

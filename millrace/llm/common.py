@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -26,8 +27,8 @@ SLICE_BYTES = 2 << 20
 #: Rows of an Arrow batch; with long texts the default of Spark takes much memory on both sides.
 BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
-#: Nodes up to which a round's lowest neighbours are broadcast.
-BROADCAST_NODES = 300_000
+#: Nodes up to which a round's lowest neighbours are broadcast, and links up to which one task finds the components.
+BROADCAST_NODES, FEW_LINKS = 300_000, 1 << 16
 
 
 def alnum_words(data: bytes) -> list[bytes]:
@@ -43,7 +44,7 @@ def space_words(data: bytes) -> list[bytes]:
 class Memo(dict):
     """A dict that computes missing values; ``trim`` empties it beyond ``limit`` entries, so that memory stays bounded."""
 
-    def __init__(self, make, limit: int = 400_000) -> None:
+    def __init__(self, make, limit: int = 100_000) -> None:
         super().__init__()
         self.make, self.limit = make, limit
 
@@ -88,9 +89,11 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset, as in tests, a folder of this process."""
+    """The folder that driver and executors share: spark.checkpoint.dir; only where it is unset and Spark runs in this process, as in tests, a folder of it."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='millrace-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return base
@@ -154,13 +157,18 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     In a round every id goes over to the smallest one among itself and its neighbours, and from there twice to
     where that one goes; links between ids that are one now are dropped, and the others join what the ids have become. The
     smallest id of a component never changes, so in the end all have become it. A round costs one sum, combined map-side, and
-    equi-joins of stored tables. Null ends are left out; an empty table gives an empty table.
+    equi-joins of stored tables. As soon as no more than ``FEW_LINKS`` links are left, one task unites their ends.
+    Null ends are left out; an empty table gives an empty table.
     """
     edges = links.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
     edges = stash(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     moves: list[DataFrame] = []
     for _ in range(max_rounds):
-        if moves and edges.isEmpty():
+        left = edges.count()
+        if moves and not left:
+            break
+        if left <= FEW_LINKS and edges.schema["u"].dataType.simpleString() in ("bigint", "int", "string"):
+            moves.append(few(stash(_united(edges), "low"), BROADCAST_NODES))
             break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = few(stash(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "low"), BROADCAST_NODES)
@@ -180,6 +188,49 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_round
     return out
 
 
+class Forest:
+    """Connected parts among numbers, from batches of links; a part's root is its smallest number."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+
+    def add(self, p: np.ndarray, q: np.ndarray) -> None:
+        while len(p):
+            a, b = self.root[p], self.root[q]
+            keep = a != b
+            p, q, a, b = p[keep], q[keep], a[keep], b[keep]
+            low = np.minimum(a, b)
+            np.minimum.at(self.root, a, low)
+            np.minimum.at(self.root, b, low)
+            while (self.root[self.root] != self.root).any():
+                self.root = self.root[self.root]
+
+
+def _united(edges: DataFrame) -> DataFrame:
+    """(u, m): the ends of a few links with the smallest id they reach, in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        u, v = table.column("u").combine_chunks(), table.column("v").combine_chunks()
+        coded = pa.concat_arrays([u, v]).dictionary_encode()
+        order = pc.sort_indices(coded.dictionary).to_numpy()
+        ids = coded.dictionary.take(pa.array(order))
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        at = number[coded.indices.to_numpy()]
+        forest = Forest(len(ids))
+        forest.add(at[: len(u)], at[len(u) :])
+        yield pa.RecordBatch.from_arrays([ids, ids.take(pa.array(forest.root))], names=["u", "m"])
+
+    from pyspark.sql import types as T
+
+    kind = edges.schema["u"].dataType
+    return edges.coalesce(1).mapInArrow(run, T.StructType([T.StructField("u", kind), T.StructField("m", kind)]))
+
+
 def annotate(docs: DataFrame, text_col: str, fields: list[tuple[str, object]], make, carry: list[str] | None = None) -> DataFrame:
     """Appends columns computed from the text alone, without a shuffle.
 

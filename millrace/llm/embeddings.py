@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, stash
+from .common import Forest, connected_components, stash
 
 BLOCKS = 8
 #: Vectors of a tile, and of a cell, about; pairs compared at a time.
@@ -138,24 +138,6 @@ def compare(x: np.ndarray, y: np.ndarray, least: float, blocks: int = BLOCKS, sa
                     yield s[linked], t[linked]
 
 
-class Forest:
-    """Connected parts among numbers, from batches of links."""
-
-    def __init__(self, n: int) -> None:
-        self.root = np.arange(n)
-
-    def add(self, p: np.ndarray, q: np.ndarray) -> None:
-        while len(p):
-            a, b = self.root[p], self.root[q]
-            keep = a != b
-            p, q, a, b = p[keep], q[keep], a[keep], b[keep]
-            low = np.minimum(a, b)
-            np.minimum.at(self.root, a, low)
-            np.minimum.at(self.root, b, low)
-            while (self.root[self.root] != self.root).any():
-                self.root = self.root[self.root]
-
-
 def near_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", blocks: int = BLOCKS, tile: int = TILE, cell: int = CELL) -> DataFrame:
     """One row per vector row: id, ``n_links``, ``component_id`` and ``kept``."""
     kind = vectors.schema[vector_col].dataType

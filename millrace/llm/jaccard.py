@@ -48,7 +48,7 @@ BROADCAST_IDS = 1_000_000
 #: What an entry of an inverted list costs, in subset entries: it is counted, joined and verified.
 ENTRY_COST = 4
 #: By scan from hubs: comparisons of a set and hubs of a list, about.
-HUBS = [(2, 2), (8, 16)]
+HUBS = [(4, 6)]
 #: Pairs of different components, per list entry, at which lists are scanned pair by pair.
 PAIRS_PER_ENTRY = 4
 #: Members up to which a list is scanned pair by pair; longer ones are swept in pieces of about so many, and of so many elements.

@@ -342,6 +342,31 @@ def as_of(spark, d):
     return ops.as_of_join(e.where("event_type = 'purchase'").select("user_id", "event_id", "ts", "value"), clicks, "user_id", "ts", ["value"]).select("user_id", "event_id", "value_r")
 
 
+# Python functions
+
+
+@query("SELECT user_id, count(*) AS n, max(value) - min(value) AS spread FROM events GROUP BY user_id")
+def user_aggregate(spark, d):
+    """A user's aggregate, folded in each task before it is merged."""
+    add = lambda a, r: (a[0] + 1, min(a[1], r["value"]), max(a[2], r["value"]))
+    merge = lambda a, b: (a[0] + b[0], min(a[1], b[1]), max(a[2], b[2]))
+    return ops.aggregate_by(t(spark, d, "events").select("user_id", "value"), "user_id", lambda: (0, float("inf"), float("-inf")), add, merge, lambda a: {"n": a[0], "spread": a[2] - a[1]}, "n bigint, spread double")
+
+
+@query("SELECT event_id, k FROM (SELECT event_id, unnest(CASE WHEN event_type = 'click' THEN ['c', 'k'] WHEN event_type = 'view' THEN ['v'] ELSE [] END) AS k FROM events WHERE user_id % 2 = 0)")
+def flat_map_function(spark, d):
+    kinds = {"click": ("c", "k"), "view": ("v",)}
+    e = ops.filter_by(t(spark, d, "events").select("event_id", "user_id", "event_type"), lambda r: r["user_id"] % 2 == 0)
+    return ops.flat_map_rows(e, lambda r: ({"event_id": r["event_id"], "k": k} for k in kinds.get(r["event_type"], ())), "event_id bigint, k string")
+
+
+@query("SELECT event_id, user_id, value, NULL::VARCHAR AS other FROM events")
+def frames_round_trip(spark, d):
+    from .sources import read_frames, to_frames
+
+    return read_frames(to_frames(t(spark, d, "events").select("event_id", "user_id", "value")), "value", "event_id bigint, user_id bigint, value double, other string")
+
+
 # Schemas, jobs, lineage
 
 

@@ -98,6 +98,43 @@ def parse_json(df: DataFrame, column: str, schema: T.StructType) -> tuple[DataFr
     return parsed.where(~bad).select(*[F.col(f"_row.{f.name}") for f in schema.fields]), parsed.where(bad).select(F.col(column).alias("raw"))
 
 
+def read_frames(df: DataFrame, column: str, schema: T.StructType | str) -> DataFrame:
+    """The rows of Arrow IPC streams that stand in a binary column, as messages of a topic or whole files do; a frame that can't be read is left out.
+
+    Columns are taken by name and cast; one that a frame lacks is null.
+    """
+    import pyarrow as pa
+
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kinds = to_arrow_schema(schema)
+        for batch in batches:
+            for frame in batch.column(0).to_pylist():
+                try:
+                    with pa.ipc.open_stream(frame or b"") as reader:
+                        got = reader.read_all()
+                    there = [got.column(f.name).cast(f.type) if f.name in got.column_names else pa.chunked_array([pa.nulls(got.num_rows, f.type)]) for f in kinds]
+                except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+                    continue
+                yield from pa.table(there, names=schema.names).combine_chunks().to_batches()
+
+    return df.select(column).mapInArrow(run, schema)
+
+
+def frame_files(spark: SparkSession, path: str, schema: T.StructType | str, stream: bool = False) -> DataFrame:
+    """Files of one Arrow IPC stream each."""
+    reader = (spark.readStream.schema("path string, modificationTime timestamp, length bigint, content binary") if stream else spark.read).format("binaryFile")
+    return read_frames(reader.load(path), "content", schema)
+
+
+def read_kafka_frames(spark: SparkSession, schema: T.StructType, **options) -> DataFrame:
+    """Rows of columnar messages: every value is an Arrow IPC stream. Needs Spark's Kafka connector on the class path."""
+    return read_frames(spark.readStream.format("kafka").options(**kafka_options(**options)).load(), "value", schema)
+
+
 class http_landing:
     """Accepts ``POST /ingest`` with a JSON array and lands it as NDJSON files, which a JSON file stream reads.
 
@@ -148,8 +185,8 @@ class http_landing:
             f.writelines(json.dumps(r) + "\n" for r in rows)
         os.rename(f"{self.folder}/.{name}", f"{self.folder}/{name}")
 
-    def stream(self, spark: SparkSession, schema: T.StructType | str) -> DataFrame:
-        return read_files(spark, self.folder, "json", schema, stream=True)
+    def stream(self, spark: SparkSession, schema: T.StructType | str, **options) -> DataFrame:
+        return read_files(spark, self.folder, "json", schema, stream=True, **options)
 
     def close(self) -> None:
         self.closing = True

@@ -33,6 +33,20 @@ def to_kafka(df: DataFrame, key: str | None = None) -> DataFrame:
     return df.select(*([F.col(key).cast("string").alias("key")] if key else []), F.to_json(F.struct("*")).alias("value"))
 
 
+def to_frames(df: DataFrame) -> DataFrame:
+    """The rows as Arrow IPC streams, one for each batch, in a column ``value``; ``read_frames`` reads them."""
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, batch.schema) as writer:
+                writer.write_batch(batch)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["value"])
+
+    return df.mapInArrow(run, "value binary")
+
+
 def post_batch(url: str, timeout: float = 30.0) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: posts every row as JSON, partition by partition; a status of 400 or more fails the batch."""
 

@@ -99,6 +99,22 @@ def ancestors(edges: DataFrame, start: DataFrame, depth: int = 32) -> DataFrame:
     raise ValueError(f"more than {depth} generations")
 
 
+def lineage_edges(*frames: DataFrame) -> DataFrame:
+    """(_rid, _parent) of frames that have ``_parents``."""
+    from functools import reduce
+
+    parts = [f.select("_rid", F.explode("_parents").alias("_parent")) for f in frames]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def export_lineage(path: str, *frames: DataFrame) -> None:
+    """Writes every row that has an id as a line of JSON: its id, its parents and its own columns, sorted by id within a file."""
+    for k, f in enumerate(frames):
+        parents = F.col("_parents") if "_parents" in f.columns else F.array().cast("array<string>")
+        own = [c for c in f.columns if c not in ("_rid", "_parents")]
+        f.select(F.col("_rid").alias("id"), parents.alias("parents"), F.struct(*own).alias("data")).sortWithinPartitions("id").write.mode("append" if k else "overwrite").json(path)
+
+
 def roots(edges: DataFrame, start: DataFrame) -> DataFrame:
     """The ancestors that have no parent themselves."""
     return ancestors(edges, start).join(edges.select(F.col("_rid").alias("ancestor")).distinct(), "ancestor", "left_anti")

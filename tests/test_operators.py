@@ -177,3 +177,39 @@ def test_as_of(spark):
     l = spark.createDataFrame([(1, 5), (1, 10), (2, 5)], "k long, ts long")  # noqa: E741
     r = spark.createDataFrame([(1, 6, "x"), (1, 10, "y")], "k long, ts long, v string")
     assert [tuple(x) for x in ops.as_of_join(l, r, "k", "ts", ["v"]).orderBy("k", "ts").collect()] == [(1, 5, None), (1, 10, "y"), (2, 5, None)]
+
+
+def test_function_operators(spark, monkeypatch):
+    from millrace import sources, streaming
+    from millrace.operators import functions
+
+    df = spark.createDataFrame([(1, "a"), (2, None), (3, "b"), (4, "a")], "v long, k string")
+    assert sorted(r.w for r in ops.map_rows(df, lambda r: {"w": r["v"] * 2}, "w long").collect()) == [2, 4, 6, 8]
+    assert ops.flat_map_rows(df, lambda r: [], "w long").count() == 0 and ops.map_batches(df, lambda b: b.select(["v"]), "v long").count() == 4
+    assert [r.v for r in ops.filter_by(df, lambda r: r["k"] is None).collect()] == [2]
+    monkeypatch.setattr(functions, "HELD_KEYS", 1)
+    total = ops.aggregate_by(df, "k", list, lambda a, r: [*a, r["v"]], lambda a, b: a + b, lambda a: {"vs": sorted(a)}, "vs array<long>")
+    assert {r.k: r.vs for r in total.collect()} == {"a": [1, 4], None: [2], "b": [3]}
+    assert ops.aggregate_by(df.limit(0), "k", list, None, None, None, "vs array<long>").count() == 0
+    frames = sources.to_frames(df).union(spark.createDataFrame([(bytearray(b"no frame"),), (None,)], "value binary"))
+    assert sorted((r.v, r.k or "") for r in sources.read_frames(frames, "value", "v long, k string").collect()) == [(1, "a"), (2, ""), (3, "b"), (4, "a")]
+    e = streaming.stamp(df, ["v"])
+    g = streaming.with_parents(e, ["k"], F.count("*").alias("n"))
+    assert streaming.lineage_edges(g).count() == 4
+
+
+def test_lineage_export(spark, tmp_path):
+    from millrace import streaming
+
+    e = streaming.stamp(spark.range(4), ["id"])
+    g = streaming.with_parents(e, [F.col("id") % 2], F.count("*").alias("n"))
+    streaming.export_lineage(str(tmp_path / "x"), e, g)
+    rows = spark.read.json(str(tmp_path / "x")).collect()
+    assert len(rows) == 6 and sum(len(r.parents) for r in rows) == 4
+
+
+def test_lookup_misses(spark):
+    left, right = spark.createDataFrame([(1,), (2,), (None,)], "k long"), spark.createDataFrame([(1, "x")], "k long, name string")
+    assert sorted(r["got"] for r in ops.side_lookup(left, right, "k", "k", "name", "got").collect()) == ["", "", "x"]
+    for how, n in (("inner", 1), ("left", 3)):
+        assert ops.hash_join(left, right, "k", "k", {"name": "got"}, how, build_order=["name"]).count() == n

@@ -1,10 +1,12 @@
-"""``python -m millrace run|validate|graph|list``."""
+"""``python -m millrace run|serve|validate|graph|list``."""
 
 from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
+import threading
 
 from .plans import JobStore, build, catalog, load, render
 from .plans.spec import JobError
@@ -16,6 +18,10 @@ def main(args: list[str] | None = None) -> int:
     run = sub.add_parser("run", help="runs a job over a bounded number of generated rows")
     run.add_argument("job")
     run.add_argument("--rows", type=int, default=1000)
+    serve = sub.add_parser("serve", help="the control plane over a folder of jobs; MILLRACE_TOKEN sets a token")
+    serve.add_argument("folder")
+    serve.add_argument("--port", type=int, default=8080)
+    serve.add_argument("--host", default="127.0.0.1")
     for name in ("validate", "graph"):
         p = sub.add_parser(name)
         p.add_argument("job")
@@ -30,6 +36,18 @@ def main(args: list[str] | None = None) -> int:
             print("0.1")
         elif opts.do == "list":
             print("\n".join(JobStore(opts.folder).names()) if opts.folder else json.dumps(catalog(), indent=2, default=str))
+        elif opts.do == "serve":
+            from pyspark.sql import SparkSession
+
+            from .plans import Control, Runner
+
+            spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
+            control = Control(Runner(spark, JobStore(opts.folder)), opts.port, opts.host, os.environ.get("MILLRACE_TOKEN"))
+            print(f"http://{opts.host}:{control.port}", flush=True)
+            try:
+                threading.Event().wait()
+            except KeyboardInterrupt:
+                control.close()
         else:
             with open(opts.job) as f:
                 spec = load(f.read())

@@ -22,7 +22,10 @@ def _span(value, timed: bool) -> str:
 
 
 def _windowed(df: DataFrame, ts: str, window: Callable[[Column, bool], Column], spec: Spec, key, lateness) -> DataFrame:
-    """Timestamps give ``window_start`` and ``window_end``, numbers ``ts``, the start. Rows are late that are older than the latest less ``lateness``."""
+    """Timestamps give ``window_start`` and ``window_end``, numbers ``ts``, the start.
+
+    Rows are late that are older than the latest less ``lateness``; a stream's time begins at 0, so windows that end before are late from the start.
+    """
     timed = _timed(df, ts)
     at = ts if timed else "_at"
     marked = df if timed else df.where(F.col(ts).isNotNull()).withColumn(at, F.timestamp_millis(F.col(ts).cast("bigint")))

@@ -130,6 +130,11 @@ def test_store_and_runner(spark, tmp_path):
     assert store.names() == ["meters"]
     runner = plans.Runner(spark, store)
     assert runner.start("meters", bounded=50).result() and runner.states() == {"meters": "finished"}
+    assert len(runner.sample("meters", "unit", 5)) == 5 and runner.status() == {"running": [], "errors": {}}
+    assert store.duplicate("meters", "meters2").name == "meters2" and store.names() == ["meters", "meters2"]
+    with pytest.raises(ValueError):
+        store.duplicate("meters", "meters2")
+    store.delete("meters2")
     store.delete("meters")
     assert store.names() == []
 

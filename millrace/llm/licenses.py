@@ -2,30 +2,37 @@
 
 Every run of ``k`` words has a hash. Those that some template position has are joined to the positions;
 each joined row votes for the diagonal (document position minus template position) of its template.
-Votes of neighbouring diagonals are merged, so that a few words put in or left out don't split a match,
-and a span stays if the words of its voters, compared word for word, cover enough of the template.
+Votes are summed by diagonal, and neighbouring diagonals are merged, so that a few words put in or left
+out don't split a match; how near they must be is limited by the template's length, so that copies
+which follow each other stay apart. A span is verified word for word: it stays if the longest common
+subsequence of its words and the template's covers enough of the template.
 
 Templates are a fixed table of a few hundred positions, so the join broadcasts them whatever the
-documents' size. Each slice first drops hashes that no template has; nothing but the voters and one
-short row per document is shuffled. Null and empty texts have no words and no labels. Rows are
-independent, so repeated rows and ties don't matter; an empty table gives an empty table.
+documents' size. Each slice first drops hashes that no template has; only voters, one short row per
+document, and the texts of documents with voters go further. Null and empty texts have no words and no labels. Rows are
+independent, so repeated rows and ties don't matter; a notice that is repeated in a text has a span for each place;
+a very long text is a slice of its own; further columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import ALNUM_TABLE, Memo, alnum_words, annotate, mix64, stash
+from .common import ALNUM_TABLE, Memo, alnum_words, annotate, mix64, slices, stash
 
 K = 4
-#: Diagonals that are at most so far apart are merged.
+#: Diagonals that are at most so far apart are merged, or less than half a template's words if that is less.
 NEAR = 6
-#: Share of a template's words that the voters must cover.
+#: Share of a template's words that a span must have, in order.
 COVER = 0.6
 
 # Phrases and their labels.
@@ -49,7 +56,7 @@ NOTICES = [
 ]
 
 VOTER = T.StructType([T.StructField("position", T.IntegerType()), T.StructField("hash", T.LongType()), T.StructField("gram", T.StringType())])
-FIELDS = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_list", T.ArrayType(T.StringType(), False)), ("voters", T.ArrayType(VOTER, False))]
+FIELDS = [("n_words", T.LongType()), ("n_base", T.LongType()), ("first_word", T.LongType()), ("last_word", T.LongType()), ("base_list", T.ArrayType(T.StringType(), False)), ("voters", T.ArrayType(VOTER, False)), ("kept_text", T.StringType())]
 
 
 def word_hash(word: bytes) -> int:
@@ -87,8 +94,8 @@ def phrase_places(words: list[bytes], phrases: dict[str, str]) -> list[tuple[int
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrases: dict[str, str] = PHRASES, notices: list[tuple[str, str]] = NOTICES, k: int = K, near: int = NEAR, cover: float = COVER) -> DataFrame:
     """One row per document row: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``, ``labels``, ``score`` and ``spans``.
 
-    ``spans`` are the verified matches (label, template, first word, last word, share covered). ``score`` is 1 where a
-    phrase stands, otherwise the largest share covered, 0 without a span.
+    ``spans`` are the verified matches (label, template, first word, last word, share of the template's words that stand there in
+    order), sorted, or null. ``score`` is 1 where a phrase stands, otherwise the largest share, 0 without a span.
     """
     spark = docs.sparkSession
     table = templates(notices, k)
@@ -109,7 +116,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 at = np.flatnonzero(sieve[(grams & np.uint64(0xFFFF)).astype(np.int64)])
                 at = at[np.isin(grams[at], wanted)]
                 voters = [{"position": p, "hash": h, "gram": b" ".join(words[p : p + k]).decode()} for p, h in zip(at.tolist(), grams[at].astype(np.int64).tolist(), strict=True)]
-                row = (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, sorted({x for _, x in base}), voters)
+                row = (len(words), len(base), base[0][0] if base else None, base[-1][0] if base else None, sorted({x for _, x in base}), voters, text.decode() if voters else None)
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
             hash_of.trim()
@@ -118,35 +125,72 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return work
 
     scanned = stash(annotate(docs, text_col, FIELDS, make, [id_col]).withColumn("row", F.monotonically_increasing_id()), "licenses")
-    positions = spark.createDataFrame(table, "template int, label string, n_template int, place int, hash long, gram string")
+    positions = spark.createDataFrame([x[:1] + x[2:] for x in table], "template int, n_template int, place int, hash long, gram string")
     votes = scanned.select("row", F.explode("voters").alias("v")).select("row", "v.*").join(F.broadcast(positions), ["hash", "gram"])
-    return _spans(scanned, votes, id_col, k, near, cover)
+    return _labelled(scanned, _verified(scanned, _spans(votes, near, k), notices, cover), id_col)
 
 
-def _spans(scanned: DataFrame, votes: DataFrame, id_col: str, k: int, near: int, cover: float) -> DataFrame:
+def _spans(votes: DataFrame, near: int, k: int) -> DataFrame:
+    """(row, spans): places in a document that votes on merged diagonals say are a template's."""
     votes = votes.withColumn("diagonal", F.col("position") - F.col("place"))
-    lines = votes.groupBy("row", "template", "label", "n_template", "diagonal").agg(F.collect_set("place").alias("places"), F.min("position").alias("low"), F.max("position").alias("high"))
-    # One document's diagonals of one template, in order: a step of more than `near` begins a new span.
-    spans = lines.groupBy("row", "template", "label", "n_template").agg(F.sort_array(F.collect_list(F.struct("diagonal", "low", "high", "places"))).alias("d"))
-    empty = F.expr("struct(cast(null as int) as diagonal, 0 as low, 0 as high, cast(array() as array<int>) as places)")
-    merged = F.aggregate(
-        "d",
-        F.array(empty).cast("array<struct<diagonal:int,low:int,high:int,places:array<int>>>"),
-        lambda acc, x: F.when(
-            x["diagonal"] - F.element_at(acc, -1)["diagonal"] <= near,
-            F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(x["diagonal"].alias("diagonal"), F.least(x["low"], F.element_at(acc, -1)["low"]).alias("low"), F.greatest(x["high"], F.element_at(acc, -1)["high"]).alias("high"), F.array_union(x["places"], F.element_at(acc, -1)["places"]).alias("places")))),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    covered = F.size(F.array_distinct(F.flatten(F.transform("s.places", lambda p: F.sequence(p, p + (k - 1))))))
-    spans = spans.select("row", "template", "label", "n_template", F.explode(F.slice(merged, 2, 1_000_000_000)).alias("s"))
-    spans = spans.withColumn("share", covered / F.col("n_template")).where(F.col("share") >= cover)
-    best = spans.groupBy("row").agg(F.collect_set("label").alias("own"), F.max("share").alias("share"), F.sort_array(F.collect_list(F.struct("label", "template", F.col("s.low").alias("first_word"), (F.col("s.high") + (k - 1)).alias("last_word"), F.round("share", 6).alias("share")))).alias("spans"))
+    lines = votes.groupBy("row", "template", "n_template", "diagonal").agg(F.min("position").alias("low"), F.max("position").alias("high"))
+    w = W.partitionBy("row", "template").orderBy("diagonal")
+    step = F.col("diagonal") - F.lag("diagonal").over(w)
+    new = F.when(step <= F.least(F.lit(near), F.floor((F.col("n_template") - 1) / 2)), 0).otherwise(1)
+    marked = lines.withColumn("new", new).withColumn("span", F.sum("new").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    spans = marked.groupBy("row", "template", "span").agg(F.min("low").alias("low"), (F.max("high") + (k - 1)).cast("int").alias("high"))
+    return spans.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("template", "low", "high"))).alias("spans"))
+
+
+def common_words(words: list[bytes], places: dict[bytes, int], size: int) -> int:
+    """Length of the longest common subsequence of ``words`` and a template of ``size`` words, whose words' places are bits."""
+    full = (1 << size) - 1
+    state = full
+    for w in words:
+        hit = state & places.get(w, 0)
+        state = (state + hit | state - hit) & full
+    return size - state.bit_count()
+
+
+SPAN = T.StructType([T.StructField("label", T.StringType()), T.StructField("template", T.IntegerType()), T.StructField("first_word", T.IntegerType()), T.StructField("last_word", T.IntegerType()), T.StructField("share", T.DoubleType())])
+
+
+def _verified(scanned: DataFrame, spans: DataFrame, notices: list[tuple[str, str]], cover: float) -> DataFrame:
+    """(row, own, share, spans): the labels, the largest share and the spans that hold word for word."""
+    known = []
+    for label, text in notices:
+        words, places = alnum_words(text.encode()), {}
+        for i, w in enumerate(words):
+            places[w] = places.get(w, 0) | 1 << i
+        known.append((label, places, len(words)))
+
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("own", T.ArrayType(T.StringType())), T.StructField("share", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = to_arrow_schema(schema)
+        for batch in slices(batches, "kept_text"):
+            out: list[tuple] = []
+            for row, text, found in zip(*(batch.column(c).to_pylist() for c in ("row", "kept_text", "spans")), strict=True):
+                words, good = alnum_words(text.encode()), []
+                for x in found:
+                    label, places, size = known[x["template"]]
+                    share = common_words(words[x["low"] : x["high"] + 1], places, size) / size
+                    if share >= cover:
+                        good.append((label, x["template"], x["low"], x["high"], round(share, 6)))
+                if good:
+                    out.append((row, sorted({x[0] for x in good}), max(x[4] for x in good), [dict(zip(SPAN.names, x, strict=True)) for x in sorted(good)]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], f.type) for i, f in enumerate(kinds)], names=schema.names)
+
+    return scanned.where("kept_text is not null").select("row", "kept_text").join(spans, "row").mapInArrow(run, schema)
+
+
+def _labelled(scanned: DataFrame, found: DataFrame, id_col: str) -> DataFrame:
     none = F.array().cast("array<string>")
-    joined = scanned.drop("voters").join(best, "row", "left")
+    joined = scanned.drop("voters", "kept_text").join(found, "row", "left")
     return joined.select(
         id_col, "n_words", "n_base", "first_word", "last_word",
         F.array_join("base_list", ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base_list", F.coalesce("own", none))), ",").alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(F.round("share", 6), F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("share", F.lit(0.0))).alias("score"),
         "spans",
     )

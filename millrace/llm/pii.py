@@ -95,9 +95,15 @@ _spelled_part = re.compile(rf"(?:plus|\+)[\s,.-]{{1,3}}|(?:{_number})[\s,.-]{{0,
 # Digit words among groups of digits; a run counts if it has a word and, rewritten, at least seven digits.
 _mixed = re.compile(rf"(?<!\w)(?:(?:plus|\+)[\s,.-]{{1,3}})?(?:(?:{_number}|[0-9]++)[\s,.-]{{1,3}})+(?:{_number}|[0-9]++)(?!\w)", re.I)
 _mixed_part = re.compile(rf"(?:plus|\+)[\s,.-]{{1,3}}|(?:{_number}|[0-9]+)[\s,.-]{{0,3}}", re.I)
+_word = re.compile(r"\w+").findall
+_words = re.compile(r"\w+").finditer
+_number_part = re.compile(r"[0-9]+").fullmatch
+_seven = re.compile(r"[0-9](?:[\s,.-]{1,3}[0-9]){6}").search
+_apart = re.compile(r"[\s,.-]{1,3}").fullmatch
 # Conditions without which there is nothing to rewrite.
 _hint = re.compile(rf"\b(?:{_number})\b", re.I)
 _dot_hint = re.compile(r"[(\[{<]\s?at\s?[)\]}>]|\bdot\b", re.I)
+_bracket_at = re.compile(r"[(\[{<]\s?at\s?[)\]}>]", re.I).search
 _dressed = re.compile(
     r"(?<=[A-Za-z0-9])\s{0,3}[(\[{<]\s?(?P<word>at|dot)\s?[)\]}>]\s{0,3}(?=[A-Za-z0-9])"
     r"|(?<=[A-Za-z0-9])\s{1,3}(?P<at>at)\s{1,3}(?=[A-Za-z0-9-]+(?:\s{1,3}|\s{0,3}[(\[{<]\s?)dot(?:\s|\s?[)\]}>]))"
@@ -160,6 +166,22 @@ def _ascii_digit(c: str) -> str:
     return found if found is not None else str(unicodedata.digit(c, "")) or c
 
 
+def _digits_said(text: str) -> bool:
+    """Whether seven single digits, or a digit word and another number, follow each other: without that the patterns of spelled digits match nothing."""
+    if _seven(text):
+        return True
+    low = text.lower()
+    if DIGIT_WORDS.keys().isdisjoint(_word(low)):
+        return not text.isascii() and any(c in text for c in "İıſ\u212a")  # letters that patterns take for ASCII ones
+    before, end = "", -9
+    for m in _words(low):
+        own = "w" if m[0] in DIGIT_WORDS else "n" if _number_part(m[0]) else ""
+        if own and before and "w" in own + before and _apart(low, end, m.start()):
+            return True
+        before, end = own, m.end()
+    return not text.isascii() and any(c in text for c in "İıſ\u212a")
+
+
 def _pieces(text: str, run: re.Pattern, part: re.Pattern) -> list[tuple[int, int, str]]:
     pieces = []
     for m in run.finditer(text):
@@ -172,28 +194,41 @@ def _pieces(text: str, run: re.Pattern, part: re.Pattern) -> list[tuple[int, int
     return pieces
 
 
-def rewritten(text: str, mixed: bool = False) -> Rewritten | None:
-    """The text without disguises, or None if none is in it; ``mixed``: digit words may stand among groups of digits, and None if none do."""
+def _plain_letters(text: str) -> Rewritten:
+    """The text with look-alikes and foreign digits as ASCII, and without characters of no width."""
     out = Rewritten(text)
-    if not text.isascii() and _strange.search(text):
-        out = out.apply([(m.start(), m.end(), _ascii_digit(m[0])) for m in _strange.finditer(text)])
-    pieces = []
-    if _hint.search(out.text):
-        pieces = _pieces(out.text, _mixed, _mixed_part) if mixed else _pieces(out.text, _spelled, _spelled_part)
-        out = out.apply(pieces)
-    if mixed and not pieces:
-        return None
-    if _dot_hint.search(out.text):
+    if not text.isascii():
+        there = set(text)
+        if not there.isdisjoint(_looks) or any(c.isdecimal() and not c.isascii() for c in there):
+            out = out.apply([(m.start(), m.end(), _ascii_digit(m[0])) for m in _strange.finditer(text)])
+    return out
+
+
+def _undressed(out: Rewritten, pieces: list[tuple[int, int, str]]) -> Rewritten:
+    """With digits for the words that ``pieces`` are, and then with "at" and "dot" as signs."""
+    out = out.apply(pieces)
+    if ("dot" in out.text.lower() or _bracket_at(out.text)) and _dot_hint.search(out.text):
         out = out.apply([(m.start(), m.end(), "@" if (m["word"] or m["at"] or m["dot"]).lower() == "at" else ".") for m in _dressed.finditer(out.text)])
+    return out
+
+
+def rewritten(text: str) -> Rewritten | None:
+    """The text without disguises, digit words standing alone; None if none is in it."""
+    start = _plain_letters(text)
+    out = _undressed(start, _pieces(start.text, _spelled, _spelled_part) if _digits_said(start.text) else [])
     return out if out.text is not text else None
 
 
 def disguised_spans(text: str, plain: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Spans found only after rewriting, in source offsets, none of which overlaps a plain one of its kind."""
     out: list[tuple[int, int, int]] = []
-    for mixed in (False, True):
-        new = rewritten(text, mixed)
-        if new is None:
+    start = _plain_letters(text)
+    said = _digits_said(start.text)
+    forms = [_undressed(start, _pieces(start.text, _spelled, _spelled_part) if said else [])]
+    if said and (mixed := _pieces(start.text, _mixed, _mixed_part)):
+        forms.append(_undressed(start, mixed))
+    for new in forms:
+        if new.text is text:
             continue
         # What digit words among groups of digits add must not overlap what is found without.
         taken: dict[int, list[tuple[int, int]]] = {}

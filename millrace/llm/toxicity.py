@@ -15,7 +15,6 @@ of toxic labels (0 without labels). Rows are independent; an empty table gives a
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections import Counter
 from collections.abc import Iterator
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, alnum_words, annotate, slices, texts, with_plain_names
+from .common import alnum_words, annotate, slices, texts, with_plain_names
 
 TRAIN_DOCS = 5000
 ROWS = 1 << 20
@@ -40,45 +39,49 @@ RATE = 0.1
 DECAY = 0.01
 #: Averages of many words are small; the average times this goes into the softmax.
 GAIN = 100.0
-#: Words longer than this are taken in pieces of ``PIECE`` bytes, and their scores are not kept.
-LONG, PIECE = 256, 1 << 16
+#: Bytes of words that are cut into n-grams at a time; words whose scores a task keeps.
+PORTION, KNOWN = 1 << 18, 100_000
 
 _crc = np.arange(256, dtype=np.uint32)
 for _ in range(8):
     _crc = np.where(_crc & 1, _crc >> 1 ^ np.uint32(0xEDB88320), _crc >> 1)
 
 
-def subwords(word: bytes) -> list[int]:
-    """Rows of the embedding table that make up a word."""
-    if len(word) > LONG:
-        return np.concatenate(list(pieces(word))).tolist()
-    framed = b"<" + word + b">"
-    out = [zlib.crc32(word) & ROWS - 1]
-    for n in (3, 4, 5):
-        out += [zlib.crc32(framed[i : i + n]) & ROWS - 1 for i in range(len(framed) - n + 1)]
-    return out
-
-
-def pieces(word: bytes) -> Iterator[np.ndarray]:
-    """The same rows for a long word, n-grams by columns."""
-    yield np.array([zlib.crc32(word) & ROWS - 1])
-    framed = np.frombuffer(b"<" + word + b">", np.uint8)
-    for at in range(0, len(framed), PIECE):
+def ngrams(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(row of the embedding table, word) of what makes up each word: itself, then its framed character n-grams, by columns."""
+    yield np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (ROWS - 1), np.arange(len(words))
+    framed = np.frombuffer(b"".join([b"<" + w + b">" for w in words]), np.uint8)
+    ends = np.cumsum(np.fromiter((len(w) + 2 for w in words), np.int64, len(words)))
+    for low in range(0, len(framed), PORTION):  # more than once for a long word only
+        start = np.arange(low, min(low + PORTION, len(framed)))
+        owner = np.searchsorted(ends, start, "right")
         for n in (3, 4, 5):
-            part = framed[at : at + PIECE + n - 1]
-            size = len(part) - n + 1
-            if size > 0:
-                crc = np.full(size, 0xFFFFFFFF, np.uint32)
-                for i in range(n):
-                    crc = _crc[(crc ^ part[i : i + size]) & 255] ^ crc >> 8
-                yield (~crc & np.uint32(ROWS - 1)).astype(np.int64)
-
-
-class Words(Memo):
-    """Keeps the scores of words that are not long."""
-
-    def __missing__(self, word: bytes) -> float:
-        return super().__missing__(word) if len(word) <= LONG else self.make(word)
+            inside = start + n <= ends[owner]
+            at, crc = start[inside], np.full(int(inside.sum()), 0xFFFFFFFF, np.uint32)
+            for i in range(n):
+                crc = _crc[(crc ^ framed[at + i]) & 255] ^ crc >> 8
+            yield (~crc & np.uint32(ROWS - 1)).astype(np.int64), owner[inside]
+
+
+def bags(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The rows of all words one after the other, and their number by word."""
+    rows, sizes = [], []
+    for part in portions(words):
+        got = list(ngrams(part))
+        row, owner = (np.concatenate(x) for x in zip(*got, strict=True))
+        rows.append(row[np.argsort(owner, kind="stable")].astype(np.uint32))
+        sizes.append(np.bincount(owner, minlength=len(part)))
+    return np.concatenate(rows) if rows else np.zeros(0, np.uint32), np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+
+
+def portions(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words, so many at a time that they have about ``PORTION`` bytes; a longer word stands alone."""
+    sizes = np.cumsum([0, *map(len, words)])
+    at = 0
+    while at < len(words):
+        end = max(at + 1, int(np.searchsorted(sizes, sizes[at] + PORTION)))
+        yield words[at:end]
+        at = end
 
 
 class Sums:
@@ -114,12 +117,19 @@ class Model:
     def __init__(self, odds: np.ndarray, bias: float) -> None:
         self.odds, self.bias = odds, bias
 
+    def words(self, words: list[bytes]) -> np.ndarray:
+        """The mean over each word's rows."""
+        out = []
+        for part in portions(words):
+            total, count = np.zeros(len(part)), np.zeros(len(part))
+            for rows, owner in ngrams(part):
+                total += np.bincount(owner, self.odds[rows], len(part))
+                count += np.bincount(owner, minlength=len(part))
+            out.append(total / count)
+        return np.concatenate(out) if out else np.zeros(0)
+
     def word(self, word: bytes) -> float:
-        if len(word) > LONG:
-            parts = [(float(self.odds[rows].sum(dtype=np.float64)), len(rows)) for rows in pieces(word)]
-            return sum(x for x, _ in parts) / sum(n for _, n in parts)
-        rows = subwords(word)
-        return float(self.odds[rows].sum()) / len(rows)
+        return float(self.words([word])[0])
 
 
 def train(words: list[bytes], doc_words: np.ndarray, doc_counts: np.ndarray, sizes: np.ndarray, labels: np.ndarray, epochs: int = EPOCHS, seed: int = 7) -> Model:
@@ -128,12 +138,7 @@ def train(words: list[bytes], doc_words: np.ndarray, doc_counts: np.ndarray, siz
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(ROWS, np.float32), np.inf if share == 1 else -np.inf)
     rng = np.random.default_rng(seed)
-    flat, bag_sizes = array("I"), np.empty(len(words), np.int64)
-    for k, word in enumerate(words):
-        rows = subwords(word)
-        flat.extend(rows)
-        bag_sizes[k] = len(rows)
-    flat = np.frombuffer(flat, np.uint32)
+    flat, bag_sizes = bags(words)
     # Only rows that are clearly more frequent in one class are learned; the many others would only be learned by heart.
     toxic = np.bincount(doc_words, weights=np.repeat(labels, sizes), minlength=len(words))
     seen = np.bincount(doc_words, minlength=len(words)).astype(np.float64)
@@ -206,14 +211,15 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", name: str = "sc
 
     def make():
         model = shared.value
-        words = Words(model.word)
+        known: dict[bytes, float] = {}
 
         def work(batch: list[bytes], _valid) -> list:
-            out = np.empty(len(batch))
-            for k, text in enumerate(batch):
-                found = list(map(words.__getitem__, alnum_words(text)))
-                out[k] = sum(found) / len(found) if found else 0.0
-            words.trim()
+            found = [alnum_words(x) for x in batch]
+            new = list(set().union(*found).difference(known))
+            known.update(zip(new, model.words(new).tolist(), strict=True))
+            out = np.array([sum(map(known.__getitem__, x)) / len(x) if x else 0.0 for x in found])
+            if len(known) > KNOWN:
+                known.clear()
             with np.errstate(over="ignore"):
                 return [pa.array(1 / (1 + np.exp(-(out + model.bias))))]
 

@@ -1,8 +1,9 @@
 """Language identification with bit-sliced Bloom filters over character n-grams.
 
-Learning: relative frequencies of hashed n-grams (1 to 4 letters, words framed by a blank) by language,
-from at most ``TRAIN_DOCS`` labelled documents of each language, taken by the hash of their id. An
-n-gram belongs to every language in which it is at least ``SHARE`` times as frequent as where it is most
+Learning: relative frequencies of hashed n-grams (1 to 4 letters, or a blank and the letters at an end of a word) by language,
+from about ``TRAIN_DOCS`` labelled documents of each language, taken by the hash of their id. N-grams that
+are seen once in a language are noise and left out; of the others each language keeps its ``TOP_GRAMS`` most
+frequent. Languages are told apart up to 63; more are refused with a ValueError. An n-gram belongs to every language in which it is at least ``SHARE`` times as frequent as where it is most
 frequent. One table of 2^20 cells holds a mask of languages per cell: an n-gram sets its languages' bits
 in ``PROBES`` cells, and the AND of the cells gives back all languages that contain it, and sometimes more.
 
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,8 +55,8 @@ def grams(batch: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.n
     owner = np.r_[owner, len(low) - 1] if len(low) else owner
     alpha = letter_table()[code]
     count = np.bincount(owner[alpha], minlength=len(low))
-    # Runs of anything else count as one blank.
-    keep = alpha | np.r_[True, alpha[:-1]]
+    # Runs of anything else count as one blank, and every text begins with one of its own.
+    keep = alpha | np.r_[True, alpha[:-1]] | np.r_[True, owner[1:] != owner[:-1]]
     code, owner, alpha = np.where(alpha, code, 32)[keep].astype(np.uint64), owner[keep], alpha[keep]
     out = []
     h = np.zeros(len(code), np.uint64)
@@ -64,7 +66,7 @@ def grams(batch: list[bytes]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.n
             break
         h = h[:size] * np.uint64(0x100000001B3) + code[n - 1 :] + np.uint64(n)
         if n in ORDERS:
-            # Blanks stand at the ends of an n-gram only, and an n-gram has a letter and belongs to one text.
+            # A blank stands at one end of an n-gram at most, and an n-gram belongs to one text.
             good = alpha[:size] if n == 1 else (alpha[:size] | alpha[n - 1 :]) & (owner[:size] == owner[n - 1 :])
             for i in range(1, n - 1):
                 good = good & alpha[i : size + i]
@@ -145,8 +147,11 @@ def fit(train: DataFrame, id_col: str, text_col: str, lang_col: str) -> BitSlice
     rates = counts.join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
     by_gram = rates.groupBy("gram").agg(F.max("rate").alias("most"), F.collect_list(F.struct("lang", "rate")).alias("in"))
     mask = F.aggregate("in", F.lit(0).cast("long"), lambda a, x: F.when(x["rate"] >= SHARE * F.col("most"), a + F.pow(F.lit(2.0), x["lang"]).cast("long")).otherwise(a))
-    top = by_gram.select("gram", "most", mask.alias("mask")).orderBy(F.desc("most"), "gram").limit(TOP_GRAMS * len(langs))
-    return BitSliced(langs, {r.gram: r.mask for r in top.select("gram", "mask").collect()})
+    # Each language keeps its own most frequent ones, so none is crowded out by others with more text.
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.desc("rate"), "gram"))
+    top = rates.withColumn("place", place).where(F.col("place") <= TOP_GRAMS).select("gram").distinct()
+    kept = by_gram.select("gram", mask.alias("mask")).join(top, "gram", "left_semi")
+    return BitSliced(langs, {r.gram: r.mask for r in kept.collect()})
 
 
 def identify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", carry: list[str] | None = None) -> DataFrame:

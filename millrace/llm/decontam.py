@@ -35,19 +35,21 @@ class Windows:
 
     def __init__(self, items: list[tuple[str, bytes]], window: int) -> None:
         self.number: dict[bytes, int] = {}
-        places: dict[int, list[tuple[bytes, int, int]]] = {}
         self.names = [i for i, _ in items]
+        parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for k, (_, text) in enumerate(items):
             ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in alnum_words(text)], ">u4")
             if len(ids):
                 size = min(window, len(ids))
-                places.setdefault(size, []).extend((ids[at : at + size].tobytes(), k, at) for at in range(len(ids) - size + 1))
+                rows = np.lib.stride_tricks.sliding_window_view(ids, size)
+                parts.setdefault(size, []).append((np.ascontiguousarray(rows).view(f"S{4 * size}").ravel(), np.column_stack([np.full(len(rows), k), np.arange(len(rows))])))
         self.by_size = {}
-        for size, found in places.items():
-            found.sort()
-            keys = np.array([x[0] for x in found], f"S{4 * size}")
+        for size, found in parts.items():
+            keys, places = (np.concatenate(x) for x in zip(*found, strict=True))
+            order = np.argsort(keys, kind="stable")
+            keys, places = keys[order], places[order]
             first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-            self.by_size[size] = (keys[first], np.r_[first, len(found)], np.array([x[1:] for x in found], np.int64).reshape(-1, 2))
+            self.by_size[size] = (keys[first], np.r_[first, len(keys)], places)
 
 
 def search(windows: Windows, docs: list[bytes]):

@@ -21,8 +21,9 @@ over all documents; they only order elements, so collisions cost time and never
 and groups of copies meet in joins of two stored tables, which Spark can split, and in sums combined map-side.
 
 Documents without words, null or empty, have an empty set (size 0) and link with nothing. Rows that repeat
-an id count as one document. A null id takes part as a text; its component is the smallest id it reaches,
-or null. Further columns are ignored. An empty table gives an empty table.
+an id and a text count as one document; rows that repeat an id with other texts are documents of their own, whose
+component is named by an id as all are. A null id takes part as a text; its component is the smallest id it reaches,
+or null. A very long text is a slice of its own. Further columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -453,19 +454,42 @@ class Join:
         return own.join(full, "key", "left").select("id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component_id", "id")).otherwise(F.col("id")).alias("component_id"))
 
 
+def _repeats(docs: DataFrame, id_col: str) -> bool:
+    return not docs.where(F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`")).count().where("count > 1").isEmpty()
+
+
+def _told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """The documents with ``__node``, a number by id and text in the order of ids, and (__node, __id)."""
+    text = F.xxhash64(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))
+    keyed = docs.withColumn("__id", F.col(f"`{id_col}`")).withColumn("__hash", text)
+    names = keyed.where("__id is not null").select("__id", "__hash").distinct().orderBy("__id", "__hash")
+    names = stash(names.withColumn("__node", F.monotonically_increasing_id()), "names")
+    return keyed.join(names, ["__id", "__hash"], "left").drop("__id", "__hash"), names.select("__node", "__id")
+
+
 def jaccard_groups(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every document row; see the module's text."""
-    return Join(docs, n, percent, id_col, text_col).run().withColumnRenamed("id", id_col)
+    docs = docs.select(F.col(f"`{id_col}`").alias(id_col), F.col(f"`{text_col}`").alias(text_col))
+    if not _repeats(docs, id_col):
+        return Join(docs, n, percent, id_col, text_col).run().withColumnRenamed("id", id_col)
+    apart, names = _told_apart(docs, id_col, text_col)
+    found = Join(apart, n, percent, "__node", text_col).run().withColumnRenamed("id", "__node")
+    found = found.join(names, "__node", "left").drop("__node").withColumnRenamed("component_id", "__node").withColumnRenamed("__id", "__own").join(names, "__node", "left")
+    return found.select(F.col("__own").alias(id_col), "n_shingles", F.col("__id").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, column for column, with the one of smallest id of each group. Rows without an id stay; of rows that repeat an id one stays."""
-    groups = stash(jaccard_groups(docs, n, percent, id_col, text_col).select(F.col(id_col).alias("__id"), "component_id"), "groups")
-    gone = bounded(groups.where("__id <> component_id").select("__id").distinct(), BROADCAST_IDS)
-    left = docs.join(gone, F.col(f"`{id_col}`") == F.col("__id"), "left_anti")
-    again = stash(groups.where("__id is not null").groupBy("__id").count().where("count > 1").select("__id"), "again")
-    if again.isEmpty():
-        return left
-    again = bounded(again, BROADCAST_IDS)
-    same = F.col(f"`{id_col}`") == F.col("__id")
-    return left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates([id_col]))
+    """The documents, column for column, with the one of smallest id of each group. Rows without an id stay; of rows that repeat an id and text one stays."""
+    plain = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # names that clash with none made here
+    own, text = plain[id_col], plain[text_col]
+    rows = docs.select(*[F.col(f"`{c}`").alias(x) for c, x in plain.items()])
+    again = _repeats(rows, own)
+    if again:
+        rows, node = _told_apart(rows, own, text)[0], "__node"
+        rows = rows.where("__node is null").unionByName(rows.where("__node is not null").dropDuplicates(["__node"]))
+    else:
+        node = own
+    groups = Join(rows, n, percent, node, text).run()
+    gone = bounded(stash(groups.where("id <> component_id").select(F.col("id").alias("__gone")).distinct(), "gone"), BROADCAST_IDS)
+    left = rows.join(gone, F.col(node) == F.col("__gone"), "left_anti")
+    return left.select(*[F.col(x).alias(c) for c, x in plain.items()])

@@ -96,6 +96,21 @@ def test_jaccard_sweeps(spark, monkeypatch, short, piece, elements):
     assert {r.id: (r.n_shingles, r.component_id) for r in join.run().collect()} == brute_jaccard(docs, 4, 85)
 
 
+def test_jaccard_odd_rows(spark):
+    """Ids repeated with the same and with other texts, null ids, clashing names, a very long text, an empty table."""
+    near, far, long = " ".join(f"w{i}" for i in range(60)), "something else that stands alone here", " ".join(f"v{i % 7001}" for i in range(60_000))
+    rows = [(1, near), (2, near + " end"), (2, far), (3, far), (3, far), (4, "no copy of anything at all"), (5, None), (6, ""), (None, near), (None, "nowhere else to be found at all"), (7, long), (8, long + " z"), (4, "and another text under a known id")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({x: F.lit("mine") for x in ("id", "__id", "__gone", "__node", "component_id", "n", "key")})
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in jaccard.jaccard_groups(df).collect())
+    sizes = {t: len(shingles(t, 5)) for _, t in rows}
+    root = {near: 1, near + " end": 1, far: 2, long: 7, long + " z": 7}
+    assert got == sorted((i or 0, sizes[t], root.get(t, i or 0)) for i, t in rows)
+    kept = jaccard.drop_near_copies(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, near), (2, far), (4, rows[5][1]), (4, rows[12][1]), (5, ""), (6, ""), (0, near), (0, rows[9][1]), (7, long)])
+    assert jaccard.drop_near_copies(df.limit(0)).count() == 0 and jaccard.jaccard_groups(df.limit(0)).count() == 0
+
+
 def test_parity_bits():
     rnd = np.random.default_rng(3)
     for n in (0, 1, 60, 65, 900):
@@ -165,6 +180,32 @@ def test_substrings_odd_tables(spark):
     assert got == [(0, 0, 0), (1, own[1][1], own[1][2]), (1, own[1][1], own[1][2]), (2, own[2][1], own[2][2])]
 
 
+def test_substrings_over_chunks(spark):
+    """A text of several chunks, with repeats over their seams, within it and in others."""
+    rnd = random.Random(12)
+    say = lambda n: bytes(rnd.choices(b"abcdefghijklmnopqrstuvwxyz     ", k=n))
+    chunk = substrings.CHUNK
+    long = bytearray(say(2 * chunk + 5000))
+    for at, size in ((chunk - 150, 400), (2 * chunk - 60, 120), (2 * chunk - 3000, 99)):
+        piece = bytes(long[at : at + size])
+        long[at + size + 777 : at + 2 * size + 777] = piece
+    docs = [(1, bytes(long).decode()), (2, "x" + bytes(long[chunk - 500 : chunk + 500]).decode() + "y"), (3, say(300).decode()), (4, "q" * 5000)]
+    seen, want = set(), {}
+    for i, t in docs:
+        data, cover = t.encode(), np.zeros(len(t) + 1, np.int64)
+        for a in range(len(data) - 99):
+            w = data[a : a + 100]
+            if w in seen:
+                cover[a] += 1
+                cover[a + 100] -= 1
+            seen.add(w)
+        removed = np.cumsum(cover)[:-1] > 0
+        kept = bytes(np.frombuffer(data, np.uint8)[~removed])
+        want[i] = (len(data), int(removed.sum()), int((np.diff(np.r_[0, removed.astype(int)]) == 1).sum()), hashlib.sha256(kept).hexdigest())
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in substrings.repeated_substrings(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == want and want[1][1] > 500
+
+
 def test_columnwise_orders_like_sorting():
     rng = np.random.default_rng(1)
     rows = rng.integers(97, 100, (60, 12)).astype(np.uint8)
@@ -208,6 +249,13 @@ def test_embeddings(spark, tile, cell):
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_single_precision_and_repeated_ids(spark):
+    rows = [(1, [1.0, 0.0, 0.0], 1), (1, [0.0, 1.0, 0.0], 1), (2, [0.99, 0.1, 0.0], 1), (3, [0.0, 1.0, 0.001], 1), (4, [0.0, 1.0, 0.0], 1), (None, [1.0, 0.0, 0.0], 1), (5, [-0.0, 0.0, 1.0], 1), (6, [0.0, 0.0, 1.0], 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    got = sorted((r.vec_id or 0, r.n_links, r.component_id or 0) for r in embeddings.near_vectors(df, 0.93).collect())
+    assert got == [(0, 0, 0), (1, 1, 1), (1, 2, 1), (2, 1, 1), (3, 2, 1), (4, 2, 1), (5, 1, 5), (6, 1, 5)]
+
+
 def test_pipeline_stages(spark):
     """Each stage on its predecessor's result, against a plain version of it."""
     pipeline = pytest.importorskip("corpus_pipeline")

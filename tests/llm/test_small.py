@@ -194,6 +194,64 @@ def test_pii_query(spark):
     assert pii.redact(empty(spark)).count() == 0
 
 
+PLANTS = [  # an identifier, its kind, and the ways it may be disguised
+    ("ann.lee@mail.example.org", "email", [lambda t: t.replace("@", " [at] ").replace(".", " (dot) "), lambda t: t.replace("@", " at ").replace(".example", " dot example"), lambda t: t.replace("a", "а"), lambda t: t.replace("@", "＠")]),
+    ("203.0.113.77", "ip", [lambda t: t.replace(".", " dot "), lambda t: t.replace("1", "１").replace("7", "７"), lambda t: t.replace(".", "․")]),
+    ("4111 1111 1111 1111", "card", [lambda t: t.replace(" ", "").replace("4", "four ").replace("1", "one ").strip(), lambda t: t.translate({48 + d: 0xFF10 + d for d in range(10)}), lambda t: t.replace("1111 1111", "1111\u200b 1111")]),
+    ("+49 151 2345678", "phone", [lambda t: t.replace("2345678", "two three four five six seven eight"), lambda t: t.replace("+", "＋"), lambda t: t.translate({48 + d: 0x0660 + d for d in range(10)})]),
+]
+
+
+def test_planted_disguises(spark):
+    """Every planted identifier is found where it stands, disguised or not, once; prose alone gives nothing."""
+    rnd, rows, want = random.Random(21), [], {}
+    prose = "we meet at noon near the dot on the map and one of two or three people will tell the seven of us about nine old books".split()
+    for i in range(200):
+        text, spans = " ".join(rnd.choices(prose, k=rnd.randint(0, 15))), []
+        for _ in range(i % 4):
+            plain, kind, ways = rnd.choice(PLANTS)
+            said = rnd.choice([lambda t: t, *ways])(plain)
+            text += " xx, "  # what stands before could otherwise be read as part of it
+            spans.append(f"{kind}:{len(text)}:{len(text) + len(said)}")
+            text += said + "; yy " + " ".join(rnd.choices(prose, k=rnd.randint(0, 9)))
+        rows.append((i, text))
+        want[i] = ",".join(spans)
+    got = {r.doc_id: r.spans for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"), mask=False).collect()}
+    assert {i: (rows[i][1], x) for i, x in got.items() if x != want[i]} == {}
+
+
+def brute_rewrite(text):
+    """The transducers on one character or word at a time, for texts whose disguises are apart: (character, source start, source end)."""
+    out, k = [], 0
+    while k < len(text):
+        dressed = re.match(r"\s{0,3}[(\[{<]\s?(at|dot)\s?[)\]}>]\s{0,3}", text[k:])
+        if dressed and k and text[k - 1].isalnum() and text[k + dressed.end() :][:1].isalnum():
+            out.append(("@" if dressed[1] == "at" else ".", k, k + dressed.end()))
+            k += dressed.end()
+            continue
+        c = text[k]
+        if c in pii._looks:
+            out += [(x, k, k + 1) for x in pii._looks[c]]
+        else:
+            out.append((c, k, k + 1))
+        k += 1
+    return out
+
+
+def test_rewriting_against_brute_force():
+    rnd = random.Random(8)
+    for _ in range(3000):
+        t = "".join(rnd.choice(["ab", "c", " (at) ", "[dot]", "@", ".", "７", "е", "\u200b", "com", "5", "-", "; "]) for _ in range(14))
+        own = brute_rewrite(t)
+        new = pii.rewritten(t) or pii.Rewritten(t)
+        # Homoglyphs are rewritten first, so a disguise may stand behind one; compare where none does.
+        if not re.search(r"[\u200b７е]\s*[(\[]|[)\]]\s*[\u200b７е]", t):
+            assert new.text == "".join(c for c, *_ in own), t
+            assert [new.source(i) for i in range(len(own))] == [a for _, a, _ in own]
+            for i, (_, _, b) in enumerate(own):  # characters without width may go with what stands before them
+                assert new.source_end(i + 1) >= b and not t[b : new.source_end(i + 1)].strip("\u200b"), t
+
+
 # Licenses
 
 
@@ -209,6 +267,55 @@ def test_licenses(spark):
     assert licenses.scan_licenses(empty(spark)).count() == 0
 
 
+def brute_licenses(text, notices, k=4, near=6, cover=0.6):
+    """All spans by comparing every run of words with every run of every notice, and a table for the common subsequence."""
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+    words, out = split(text), []
+    for t, (label, notice) in enumerate(notices):
+        own = split(notice)
+        votes = sorted((p - q, p) for p in range(len(words) - k + 1) for q in range(len(own) - k + 1) if words[p : p + k] == own[q : q + k])
+        chains = []
+        for d, p in votes:
+            if not chains or d - chains[-1][-1][0] > min(near, (len(own) - 1) // 2):
+                chains.append([])
+            chains[-1].append((d, p))
+        for c in chains:
+            low, high = min(p for _, p in c), max(p for _, p in c) + k - 1
+            row = [0] * (len(own) + 1)
+            for w in words[low : high + 1]:
+                new = [0]
+                for j, x in enumerate(own):
+                    new.append(row[j] + 1 if w == x else max(new[j], row[j + 1]))
+                row = new
+            if row[-1] / len(own) >= cover:
+                out.append((label, t, low, high, round(row[-1] / len(own), 6)))
+    return sorted(out)
+
+
+def test_licenses_against_brute_force(spark):
+    """Notices with words changed, put in, left out or repeated, among prose and each other; few of them hold a phrase."""
+    rnd, texts = random.Random(11), []
+    for _ in range(120):
+        parts = []
+        for _ in range(rnd.randint(0, 4)):
+            words = rnd.choice(licenses.NOTICES)[1].split()
+            for _ in range(rnd.choice([0, 0, 1, 3, 8, 20])):
+                i = rnd.randrange(len(words))
+                words[i : i + 1] = rnd.choice([["other"], [], [words[i], "more", "words"]])
+            parts += words * rnd.choice([1, 1, 1, 3, 7]) + rnd.choices("the of a this software license under any".split(), k=rnd.choice([0, 2, 30]))
+        texts.append(" ".join(parts))
+    texts += ["Released under the MIT License. " * 400, ODD[0]]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    some = 0
+    for r in licenses.scan_licenses(df).collect():
+        want = brute_licenses(texts[r.doc_id], licenses.NOTICES)
+        assert [tuple(x) for x in r.spans or ()] == want, texts[r.doc_id]
+        assert r.labels == ",".join(sorted({x[0] for x in want} | set(filter(None, r.base_labels.split(",")))))
+        assert r.score == (1.0 if r.n_base else max((x[4] for x in want), default=0.0))
+        some += bool(want) and not r.n_base
+    assert some > 20
+
+
 # Decontamination
 
 
@@ -278,6 +385,47 @@ def test_language(spark):
     assert langid.identify(empty(spark), df).count() == 0
 
 
+def brute_language(model, text):
+    """Every n-gram of the text on its own: which filters hold it, counted by language and corrected."""
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    found, total = np.zeros(len(model.langs)), 0
+    for n in langid.ORDERS:
+        for w in words:
+            framed = w if n == 1 else f" {w} "
+            for i in range(len(framed) - n + 1):
+                if n > 1 and framed[i] == framed[i + n - 1] == " ":
+                    continue
+                h = np.uint64(0)
+                with np.errstate(over="ignore"):
+                    for k, c in enumerate(framed[i : i + n]):
+                        h = h * np.uint64(0x100000001B3) + np.uint64(ord(c)) + np.uint64(k + 1)
+                    mask = int(model.containing(langid.mix64(np.array([h], np.uint64)))[0])
+                found += [(mask >> b) & 1 for b in range(len(model.langs))]
+                total += 1
+    right = np.maximum(0, found - total * model.wrong) / np.maximum(1e-9, 1 - model.wrong)
+    best = int(right.argmax())
+    return (model.langs[best], min(1.0, right[best] / total)) if words else ("und", 0.0)
+
+
+@pytest.mark.parametrize("n", [3, 12])
+def test_language_against_brute_force(spark, n):
+    """Up to 8 languages and more than 8."""
+    rnd = random.Random(n)
+    letters = {f"l{k:02d}": rnd.sample("abcdefghijklmnopqrstuvwxyzäöüéñ", 9) for k in range(n)}
+    say = lambda l, k: " ".join("".join(rnd.choices(letters[l], k=rnd.randint(1, 6))) for _ in range(k))
+    rows = [(i, say(l := rnd.choice(list(letters)), rnd.randint(3, 40)), l) for i in range(40 * n)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(df, "doc_id", "text", "lang")
+    texts = [t for _, t, _ in rows[:20]] + ["a", "b c", "É!", "x1y", "", "--"]
+    got = model.predict([t.encode() for t in texts])
+    for t, lang, score in zip(texts, *got, strict=True):
+        want = brute_language(model, t)
+        assert lang == want[0] and score == pytest.approx(want[1])
+    if n > 8:
+        with pytest.raises(ValueError):
+            langid.fit(spark.createDataFrame([(i, "a a", f"l{i}") for i in range(64)], "doc_id long, text string, lang string"), "doc_id", "text", "lang")
+
+
 def test_bit_sliced_membership():
     rnd = np.random.default_rng(9)
     keys = rnd.integers(-(2**62), 2**62, 5000)
@@ -320,6 +468,23 @@ def test_toxicity(spark):
     assert toxicity.score(empty(spark), model).count() == 0
 
 
+def test_toxicity_against_brute_force():
+    """A trained model's score of a text, term by term: the mean over words of the mean over character n-grams; and the gradient of training by differences."""
+    rnd = np.random.default_rng(2)
+    model = toxicity.Model(rnd.normal(size=toxicity.ROWS).astype(np.float32), 0.3)
+    for word in (b"a", b"word", "straße".encode(), b"x" * 300):
+        framed = b"<" + word + b">"
+        rows = [zlib.crc32(word)] + [zlib.crc32(framed[i : i + n]) for n in (3, 4, 5) for i in range(len(framed) - n + 1)]
+        assert model.word(word) == pytest.approx(np.mean([float(model.odds[r % toxicity.ROWS]) for r in rows]), rel=1e-4)
+    member, sizes, weight = np.array([0, 2, 2, 1, 0]), np.array([2, 0, 3]), rnd.normal(size=5).astype(np.float32)
+    sums = toxicity.Sums(member, sizes, 3, weight)
+    matrix = np.zeros((3, 3))
+    for k, g in enumerate(np.repeat(np.arange(3), sizes)):
+        matrix[g, member[k]] += weight[k]
+    x = rnd.normal(size=(3, 2)).astype(np.float32)
+    assert np.allclose(sums.forward(x), matrix @ x, atol=1e-5) and np.allclose(sums.backward(x), matrix.T @ x, atol=1e-5)
+
+
 def test_toxicity_reads_whole_words():
     """The n-grams of a word past its first 64 bytes count, and those of a long run are the same in pieces."""
     rnd = random.Random(12)
@@ -327,7 +492,7 @@ def test_toxicity_reads_whole_words():
     for w in (word[:63], word[:100], word[:300], word):
         framed = b"<" + w + b">"
         want = [zlib.crc32(w), *(zlib.crc32(framed[i : i + n]) for n in (3, 4, 5) for i in range(len(framed) - n + 1))]
-        rows = toxicity.subwords(w)
+        rows = toxicity.bags([b"other", w])[0][len(toxicity.bags([b"other"])[0]) :].tolist()
         assert sorted(rows) == sorted(x & toxicity.ROWS - 1 for x in want)
     odds = np.zeros(toxicity.ROWS, np.float32)
     odds[zlib.crc32(b"zorg") & toxicity.ROWS - 1] = 1.0
@@ -388,6 +553,15 @@ def test_lm_keeps_rare_words_and_pairs(spark):
     assert [got[i].n_tokens for i in range(6)] == [40_000, 40_000, 2, 2, 2, 2]
 
 
+def test_lm_odd_rows(spark):
+    """Clashing names, repeated rows and ids, null ids, a very long text: every row has a score of its own text."""
+    rows = [(1, "a b c"), (1, "a b c"), (1, "c c"), (None, "a b c"), (2, None), (3, "long " * 100_000), (4, "a b c")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("mine") for c in ("score", "n_tokens", "word", "row", "id", "bucket")})
+    got = lmscore.score(df, lmscore.fit(df, spark.createDataFrame([(4,)], "doc_id long")), carry=["doc_id", "text"]).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.text == "a b c"}) == 1
+    assert sorted(r.n_tokens for r in got) == [0, 2, 3, 3, 3, 3, 100_000]
+
+
 @pytest.mark.parametrize(("words", "heavy"), [(3, 20_000), (3, 1), (3, 4)])
 def test_lm_buckets(spark, monkeypatch, words, heavy):
     """The buckets do not change the scores: one with all words light or heavy, or many."""

@@ -6,15 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: A side of at most so many rows is broadcast; with more Spark joins by a shuffle.
-BROADCAST_ROWS = 200_000
+#: A side of at most so many bytes, by the plan's statistics, is broadcast; of others Spark decides when it has seen their sizes.
+BROADCAST_BYTES = 16 << 20
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks a batch frame for broadcasting if it has at most ``rows`` rows."""
+def small(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a batch frame for broadcasting if it can't be larger than ``size``. Nothing is computed for that: files know their sizes, and what filters and aggregates leave is no more."""
     if df.isStreaming:
         return df
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return F.broadcast(df) if estimate <= size else df
 
 
 def hash_join(probe: DataFrame, build: DataFrame, probe_key: str, build_key: str, bring: dict[str, str], how: str = "inner", multi: bool = False, build_order: list[str] | None = None, null_mode: str = "sql") -> DataFrame:

@@ -78,7 +78,7 @@ def _stream_join(df: DataFrame, p: dict) -> DataFrame:
         from ..streaming import stream_interval_join
 
         return stream_interval_join(*sides, p["key"], p["ts"], p["window"], p.get("lateness") or 0)
-    return ops.interval_join(*sides, p["key"], p["ts"], p["window"])
+    return ops.interval_join(*sides, p["key"], p["ts"], p["window"], bucket=True)  # a hot key is spread over its buckets
 
 
 def _vec_map(df: DataFrame, p: dict) -> DataFrame:

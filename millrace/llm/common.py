@@ -29,6 +29,8 @@ BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 #: Nodes up to which a round's lowest neighbours are broadcast, and links up to which one task finds the components.
 BROADCAST_NODES, FEW_LINKS = 300_000, 1 << 16
+#: Bytes of files up to which a stashed table is broadcast.
+BROADCAST_BYTES = 16 << 20
 
 
 def alnum_words(data: bytes) -> list[bytes]:
@@ -151,6 +153,14 @@ def few(table: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(table) if table.count() <= rows else table
 
 
+def light(table: DataFrame, view: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Marks a view of a stashed table for broadcasting if the table's files have at most ``size`` bytes."""
+    path = table.stash_path
+    p = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    there = p.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(view) if there <= size else view
+
+
 def connected_components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """(id, component) of every id in ``links``: the smallest id that it reaches.
 

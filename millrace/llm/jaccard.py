@@ -40,7 +40,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, annotate, bounded, connected_components, few, mix64, release, slices, space_words, stash, texts, unstash
+from .common import Memo, annotate, bounded, connected_components, few, light, mix64, release, slices, space_words, stash, texts, unstash
 
 #: Cells of the table of element counts.
 CELLS = 1 << 20
@@ -233,7 +233,7 @@ class Join:
         is among both's entries or among that set's elements without an entry.
         """
         side = lambda x: heads.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("rest").alias(f"rest_{x}"), F.col("hs").alias(f"hs_{x}"))
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
+        both = pairs.join(light(heads, side("a")), "a").join(light(heads, side("b")), "b")
         least = self._least("n_a", "n_b")
         return both.where(F.size(F.array_intersect("hs_a", "hs_b")) + F.greatest("rest_a", "rest_b") >= least).select("a", "b")
 
@@ -241,7 +241,8 @@ class Join:
         """The pairs (a, b) that link, by their whole sets."""
         percent, id_type = self.percent, self.id_type
         sets = stash(self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()), "sets")
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("elements").alias("y")), "b").select("a", "b", "x", "y")
+        x, y = (light(sets, sets.select(F.col("node").alias(a), F.col("elements").alias(v))) for a, v in (("a", "x"), ("b", "y")))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -447,7 +448,11 @@ class Join:
         # A null id has no entries of its own unless its text has no other id, and then it can't be named in a link.
         docs = self.docs.where("id is not null").join(bounded(stash(copies, "copies"), BROADCAST_IDS), "id", "left_anti")
         entries = stash(self.entries(docs, counts, boundary), "entries")
-        self.links = self.heavy_links(entries, stash(self.light_links(entries), "links"))
+        if any(n < boundary for n in sizes):
+            links = stash(self.light_links(entries), "links")
+        else:  # no set is light
+            links = docs.sparkSession.createDataFrame([], T.StructType([T.StructField("a", self.id_type), T.StructField("b", self.id_type)]))
+        self.links = self.heavy_links(entries, links)
         roots = stash(connected_components(self.links).withColumnRenamed("id", "node"), "roots")
         self.nodes = nodes
         full = stash(nodes.select("key", "node").join(roots, "node", "left").select("key", F.coalesce("component", "node").alias("component_id")), "classes")

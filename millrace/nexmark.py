@@ -48,8 +48,8 @@ def events(spark: SparkSession, n: int) -> dict[str, DataFrame]:
     }
 
 
-def _count(df: DataFrame, key: str, size: int) -> DataFrame:
-    return keyed_count_window(df, key, size, "count", ["_seq"])
+def _count(df: DataFrame, key: str, size: int, skewed: bool = False) -> DataFrame:
+    return keyed_count_window(df, key, size, "count", ["_seq"], skewed)
 
 
 def _bid_auction(e: dict[str, DataFrame], *columns: Column) -> DataFrame:
@@ -128,11 +128,11 @@ def q14(b: DataFrame) -> DataFrame:
 
 
 def q15(b: DataFrame) -> DataFrame:
-    return _count(b.withColumn("day", F.expr("dateTime div 86400000")), "day", 1000)
+    return _count(b.withColumn("day", F.expr("dateTime div 86400000")), "day", 1000, skewed=True)  # a day is one key
 
 
 def q16(b: DataFrame) -> DataFrame:
-    return _count(b, "channel", 1000)
+    return _count(b, "channel", 1000, skewed=True)  # five keys
 
 
 def q17(b: DataFrame) -> DataFrame:

@@ -46,6 +46,9 @@ def keyed_count_window(df: DataFrame, key: str | list[str], size: int, spec: Spe
     if size < 1:
         raise ValueError("a window has a row at least")
     keys = [key] if isinstance(key, str) else key
+    if skewed and isinstance(spec, str):  # rows are stored on the way: only what is asked for
+        asked = {p.partition(":")[2].strip() for p in spec.split(",")} - {""}
+        df = df.select(*dict.fromkeys([*keys, *order_by, *sorted(asked)]))
     numbered = number_rows(df, order_by, key=keys, skewed=skewed)
     return numbered.groupBy(*keys, F.floor((F.col("_rn") - 1) / size).cast("bigint").alias("window")).agg(*_columns(spec))
 

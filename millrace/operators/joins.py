@@ -14,7 +14,7 @@ def small(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
     """Marks a batch frame for broadcasting if it can't be larger than ``size``. Nothing is computed for that: files know their sizes, and what filters and aggregates leave is no more."""
     if df.isStreaming:
         return df
-    estimate = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    estimate = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return F.broadcast(df) if estimate <= size else df
 
 

@@ -296,6 +296,23 @@ def test_pipeline_stages(spark):
     assert ran == {i: r.ids for i, r in now.items()}
 
 
+@pytest.mark.parametrize("rows", [0, 9])
+def test_pipeline_stages_on_odd_rows(spark, rows):
+    """Null, empty, blank and very long texts, repeated rows, names that stages use for their own columns; and an empty table."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    long = " ".join(f"u{i}" for i in range(40_000))
+    given = [(1, None), (2, ""), (3, " \n"), (4, long), (5, "the same words stand here twice over"), (6, "the same words stand here twice over"), (7, "日本語"), (8, "\x00\x01"), (None, "no id at all for this one")][:rows]
+    docs = spark.createDataFrame(given, "doc_id long, text string").withColumns({x: F.lit("mine") for x in ("id", "__id", "__text", "score", "n_words", "hits", "items", "spans", "masked", "found", "c0", "component_id", "n_hit")})
+    for k, (_, stage) in enumerate(pipeline.STAGES):
+        out = stage(spark, docs, DATA)
+        got = out.collect()
+        gone = {6} if k >= 1 else set()
+        assert {r.doc_id for r in got} == {i for i, _ in given} - gone and len(got) == len(given) - len(gone & {i for i, _ in given})
+        if k < 4:
+            assert out.columns == docs.columns
+            docs = spark.createDataFrame(got, docs.schema)
+
+
 def test_registered(spark):
     names = set(entry.queries())
     assert {f"op{n}" for n in range(1, 11)} == {x.split("_")[0] for x in names if x.startswith("op")} and "pipeline" in names

@@ -5,11 +5,12 @@ marked as wanted, the background model counts all documents, scaled to the targe
 that the two are matched. A word's loss is its negative log probability after the word before it; a
 document's score is the mean of the target's loss minus the background's, so lower means more like the target.
 
-Counts cover every word and every pair of every document, and nothing counted is left out: the model is a
-stored table that grows with the input. Words and pairs are numbered by 64-bit hashes. Tokens are dealt to buckets
-by their word, those of the at most ``HEAVY`` most frequent words by their pair; a bucket has the counts that the
-losses of its tokens need. A document's tokens are scored where their counts are, and the sums are brought back to
-its text. The number of buckets grows with the number of words counted, so that one fits into a task.
+Counts cover every word and every pair of every document, and nothing counted is left out. Words and pairs are numbered
+by 64-bit hashes. Tokens are dealt to buckets by their word, those of the at most ``HEAVY`` most frequent words by their
+pair; a bucket has all that the counts and the losses of its tokens need. So the documents a model was fitted on are sent
+once: their tokens are counted and scored in the same place, and the sums are brought back to their texts. For other
+documents the counts are stored as a table, made when it is first needed, to which their tokens are sent likewise. The
+number of buckets grows with the number of words counted, so that one fits into a task; many are worked on in parts.
 
 ``fit`` with ``vocabulary`` or ``pairs`` gives a bounded model instead, small enough to be broadcast: it keeps only the most
 frequent words (the others are one unknown word) and pairs of known words (for others the smoothing decides).
@@ -22,13 +23,15 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import cached_property, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,9 +42,14 @@ VOCABULARY = 20_000
 PAIRS = 2_000_000
 #: Words with at least this part of all words are dealt by pair; there can't be more of them.
 HEAVY = 20_000
-#: Words counted for each bucket; bytes and rows of text that are worked on at once (a row's number has 15 bits).
-BUCKET_WORDS = 2_000_000
-CHUNK_BYTES, CHUNK_ROWS = 3 << 20, 30_000
+#: Words counted for each bucket; bytes and rows of text that are worked on at once (a row's number has 14 bits). A chunk
+#: has a row for each bucket, so both are large: rows grow with the square of the input.
+BUCKET_WORDS = 3_000_000
+CHUNK_BYTES, CHUNK_ROWS = 12 << 20, 16_000
+#: Buckets up to which all are worked on at once; parts in which more are worked on, at most.
+PART_BUCKETS, PARTS = 128, 3
+#: Words of which a task remembers the hashes.
+MEMO = 200_000
 #: Weight of the single-word model, as a number of words, and of every word in that model.
 PRIOR, EVEN = 20.0, 0.5
 #: Words that a task counts before it hands its counts on.
@@ -90,28 +98,24 @@ def _hash(word: bytes) -> int:
 
 
 class Tokens:
-    """The words of a chunk, one after the other: their hashes, those of the pairs that end in them, their rows and places."""
+    """The words of a chunk, one after the other: their numbers in ``words``, hashes of the chunk's distinct words; the rows they are in."""
 
     def __init__(self, found: list[bytes], memo: Memo) -> None:
+        number: defaultdict = defaultdict(count().__next__)
         parts = []
         for text in found:
             words = alnum_words(text)
-            parts.append(np.fromiter(map(memo.__getitem__, words), np.uint64, len(words)))
-            memo.trim()
+            parts.append(np.fromiter(map(number.__getitem__, words), np.int32, len(words)))
         self.sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-        self.word = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.row = np.repeat(np.arange(len(parts)), self.sizes)
-        ends = np.cumsum(self.sizes)[self.sizes > 0]
-        self.first, self.last = np.zeros(len(self.word), bool), np.zeros(len(self.word), bool)
-        self.last[ends - 1] = True
-        self.first[ends - self.sizes[self.sizes > 0]] = True
-        before = np.r_[np.zeros(min(1, len(self.word)), np.uint64), self.word[:-1]]
-        before[self.first] = 0
-        self.pair = mix64(mix64(before) + self.word)
+        self.ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
+        self.words = np.fromiter(map(memo.__getitem__, number), np.uint64, len(number))
+        memo.trim()
+        self.row = np.repeat(np.arange(len(parts), dtype=np.int32), self.sizes)
 
-    def bucket(self, heavy: np.ndarray, buckets: int) -> np.ndarray:
-        key = np.where(_among(heavy, self.word)[1], self.pair, self.word)
-        return ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+
+def _pairs(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """Hashes of pairs by those of their words; the word before a first one is 0."""
+    return mix64(mix64(before) + word)
 
 
 def _among(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,22 +126,13 @@ def _among(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def _summed(keys: np.ndarray, target: np.ndarray, background: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
-    if not len(keys):
-        return keys, target, background
-    return keys[starts], np.add.reduceat(target[order], starts), np.add.reduceat(background[order], starts)
-
-
-def _cut(bucket: np.ndarray) -> Iterator[tuple[int, slice]]:
-    """Stretches of equal sorted numbers."""
-    if len(bucket):
-        starts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        for lo, hi in zip(starts, np.r_[starts[1:], len(bucket)], strict=True):
-            yield int(bucket[lo]), slice(int(lo), int(hi))
+def _starts(*sorted_by: np.ndarray) -> np.ndarray:
+    """Where stretches of equal numbers begin."""
+    n = len(sorted_by[0])
+    new = np.zeros(max(0, n - 1), bool)
+    for x in sorted_by:
+        new |= x[1:] != x[:-1]
+    return np.flatnonzero(np.r_[np.ones(min(1, n), bool), new])
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -150,152 +145,239 @@ def _unpack(data: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(data[8:], n * np.dtype(kind).itemsize, "zstd"), kind)
 
 
-def _joined(table: pa.Table, column: str, kind) -> np.ndarray:
-    """Keys are stored as they are, counts packed."""
-    read = np.frombuffer if kind is np.uint64 else _unpack
-    return np.concatenate([np.zeros(0, kind), *(read(x, kind) for x in table.column(column).to_pylist())])
+def _joined(parts: list[np.ndarray], kind) -> np.ndarray:
+    return np.concatenate([np.zeros(0, kind), *parts])
 
 
-def _stored(keys: np.ndarray, *counts: np.ndarray) -> list[bytes]:
-    return [keys.tobytes(), *map(_pack, counts)]
+_SENT = "bucket long, chunk long, a binary, b binary, n binary, pairs binary, place binary"
+_COUNTS = "bucket long, pair binary, pt binary, pb binary, word binary, wt binary, wb binary"
+_SUMS = "chunk long, a binary, b binary, n binary, sums binary"
 
 
-_COUNTS = "bucket long, pair binary, pt binary, pb binary, word binary, wt binary, wb binary"
+def _as_batch(rows: list[list], schema: str) -> pa.RecordBatch:
+    names, kinds = zip(*(x.split() for x in schema.split(", ")), strict=True)
+    columns = zip(*rows, strict=True) if rows else [[]] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if k == "long" else pa.binary()) for x, k in zip(columns, kinds, strict=True)], names=names)
 
 
 class Whole:
-    """Two matched bigram models over all words: counts of pairs and light words by bucket in a stored table, and those of the heavy words."""
+    """Two matched bigram models over all words: number of words, totals, the counts of the heavy words, and where all others are counted from."""
 
-    def __init__(self, counts: DataFrame, buckets: int, size: int, totals: tuple[int, int], heavy: np.ndarray, heavy_counts: np.ndarray) -> None:
-        self.counts, self.buckets, self.heavy, self.size = counts, buckets, heavy, size
+    def __init__(self, docs: DataFrame, text_col: str, marked: DataFrame, buckets: int, size: int, totals: tuple[int, int], heavy: np.ndarray, heavy_counts: np.ndarray) -> None:
+        self.docs, self.text_col, self.marked = docs, text_col, marked
+        self.buckets, self.heavy, self.size = buckets, heavy, size
         self.scale = np.array([1.0, totals[0] / totals[1] if totals[0] and totals[1] else 1.0])
         self.total, self.heavy_counts = np.array(totals, float) * self.scale, heavy_counts
-
-
-def _fit_whole(marked: DataFrame) -> Whole:
+        self._counts: DataFrame | None = None
+
+    @property
+    def counts(self) -> DataFrame:
+        """Counts of pairs and light words by bucket, as a stored table; only other documents than the model's own need it."""
+        if self._counts is None:
+
+            def merge(sent: pa.Table) -> pa.Table:
+                bucket = sent.column("bucket")[0].as_py()
+                if bucket < 0:
+                    return pa.Table.from_batches([_as_batch([], _COUNTS)])
+                own = Sent(sent)
+                row = [bucket]
+                for keys, counts in ((own.pair, own.pair_counts()), (own.word, own.word_counts())):
+                    order = np.argsort(keys, kind="stable")
+                    first = order[_starts(keys[order])]
+                    first = first[counts[first, 1] > 0]
+                    row += [keys[first].tobytes(), *(_pack(counts[first, m].astype(np.int64)) for m in (0, 1))]
+                give_back()
+                return pa.Table.from_batches([_as_batch([row], _COUNTS)])
+
+            self._counts = stash(_send(self.marked, self, 0, 1).groupBy("bucket").applyInArrow(merge, _COUNTS), "ngrams")
+            release(self.marked.sparkSession)
+        return self._counts
+
+
+def _fit_whole(docs: DataFrame, text_col: str, marked: DataFrame) -> Whole:
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(_hash, 150_000)
+        memo = Memo(_hash, MEMO)
         for batch in _chunks(batches):
             tokens = Tokens(texts(batch, "text"), memo)
-            mark = batch.column("marked").to_numpy()[tokens.row].astype(np.int64)
-            key, t, b = _summed(tokens.word, mark, np.ones(len(mark), np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(t), pa.array(b)], names=["word", "t", "b"])
+            mark = batch.column("marked").to_numpy()[tokens.row]
+            t, b = np.bincount(tokens.ids[mark > 0], minlength=len(tokens.words)), np.bincount(tokens.ids, minlength=len(tokens.words))
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.words.view(np.int64)), pa.array(t), pa.array(b)], names=["word", "t", "b"])
         memo.clear()
         give_back()
 
-    singles = stash(marked.mapInArrow(words, "word long, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
+    singles = stash(marked.select("text", "marked").mapInArrow(words, "word long, t long, b long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("b").alias("b")), "words")
     size, t, b = singles.agg(F.count("*"), F.coalesce(F.sum("t"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
     top = singles.where(F.col("b") >= max(1, -(-b // HEAVY))).toArrow()
     unstash(singles)
     heavy = top.column("word").to_numpy().view(np.uint64)
     order = np.argsort(heavy)
     heavy, heavy_counts = heavy[order], np.stack([top.column("t").to_numpy(), top.column("b").to_numpy()], axis=1).astype(float)[order]
-    buckets = b // BUCKET_WORDS + 1
+    release(marked.sparkSession)
+    # One more for the words that are in no document.
+    return Whole(docs, text_col, marked, b // BUCKET_WORDS + 1, size + 1, (t, b), heavy, heavy_counts)
+
+
+def _send(plain: DataFrame, model: Whole, part: int, parts: int) -> DataFrame:
+    """The tokens of (text, __k0, __k1, marked) that belong to one part of the buckets, a row for each chunk and bucket.
+
+    In a row are the distinct pairs, grouped by their last words: hashes of pairs and words, tokens of a pair, pairs of a
+    word, and of every token the row of its text, whether that is marked and whether the token is its last.
+    """
+    heavy, buckets = model.heavy, model.buckets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Memo(_hash, 150_000)
-        for batch in _chunks(batches):
+        memo, base = Memo(_hash, MEMO), TaskContext.get().partitionId() << 32
+        for number, batch in enumerate(_chunks(batches)):
             tokens = Tokens(texts(batch, "text"), memo)
-            bucket, mark = tokens.bucket(heavy, buckets), batch.column("marked").to_numpy()[tokens.row].astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            light, inner = ~_among(heavy, tokens.word)[1], ~tokens.first
-            rows: list[list] = []
-            for k, part in _cut(bucket[order]):
-                own = order[part]
-                row = [k]
-                for key, keep in ((tokens.pair, inner), (tokens.word, light)):
-                    at = own[keep[own]]
-                    row += _stored(*_summed(key[at], mark[at], np.ones(len(at), np.int64)))
-                rows.append(row)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if not i else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], names=["bucket", "pair", "pt", "pb", "word", "wt", "wb"])
+            # A row of its own, in no bucket, has the documents of the chunk.
+            keys = [batch.column(i).to_numpy().tobytes() for i in (1, 2)]
+            rows = [[-1 - base - number, base + number, *keys, _pack(tokens.sizes), b"", b""]]
+            ids, sizes, words = tokens.ids.astype(np.int64), tokens.sizes[tokens.sizes > 0], tokens.words
+            ends = np.cumsum(sizes)
+            # Number 0 is none before it.
+            before = np.r_[np.zeros(min(1, len(ids)), np.int64), ids[:-1] + 1]
+            before[ends - sizes] = 0
+            hashes = np.r_[np.zeros(1, np.uint64), words]
+            bucket = ((words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[ids]
+            by_pair = np.flatnonzero(_among(heavy, words)[1][ids])
+            bucket[by_pair] = (_pairs(hashes[before[by_pair]], words[ids[by_pair]]) >> np.uint64(20)) % np.uint64(buckets)
+            place = tokens.row.astype(np.uint16) * np.uint16(4) + batch.column("marked").to_numpy().astype(np.uint16)[tokens.row] * np.uint16(2)
+            place[ends - 1] += 1
+            mine = np.flatnonzero(bucket % parts == part) if parts > 1 else slice(None)
+            bucket, ids, before, place = bucket[mine], ids[mine], before[mine], place[mine]
+            if len(words) < 1 << 24 and buckets < 1 << 15:
+                order = np.argsort(bucket << 48 | ids << 24 | before)
+            else:
+                order = np.lexsort((before, ids, bucket))
+            bucket, ids, before, place = bucket[order], ids[order], before[order], place[order]
+            starts = _starts(bucket, ids, before)
+            many = np.diff(np.r_[starts, len(ids)]).astype(np.uint32)
+            pair = _pairs(hashes[before[starts]], words[ids[starts]])
+            heads = _starts(bucket[starts], ids[starts])
+            pairs_of = np.diff(np.r_[heads, len(starts)]).astype(np.uint32)
+            word = words[ids[starts[heads]]]
+            edges = _starts(bucket)
+            cuts = np.stack([np.r_[edges, len(ids)], np.searchsorted(starts, np.r_[edges, len(ids)]), np.searchsorted(starts[heads], np.r_[edges, len(ids)])], axis=1)
+            for k, (i, p, w), (j, q, v) in zip(bucket[edges].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                rows.append([k, base + number, pair[p:q].tobytes(), word[w:v].tobytes(), _pack(many[p:q]), _pack(pairs_of[w:v]), _pack(place[i:j])])
+            del tokens, ids, before, bucket, order, place, pair, starts, many
+            yield _as_batch(rows, _SENT)
         memo.clear()
         give_back()
 
-    def merge(table: pa.Table) -> pa.Table:
-        out = [pa.array([table.column("bucket")[0].as_py()], pa.int64())]
-        for names in (("pair", "pt", "pb"), ("word", "wt", "wb")):
-            out += [pa.array([x], pa.binary()) for x in _stored(*_summed(*(_joined(table, n, np.uint64 if not i else np.int64) for i, n in enumerate(names))))]
-        give_back()
-        return pa.Table.from_arrays(out, names=["bucket", "pair", "pt", "pb", "word", "wt", "wb"])
+    return plain.select("text", "__k0", "__k1", "marked").mapInArrow(run, _SENT)
 
-    counts = stash(marked.mapInArrow(run, _COUNTS).groupBy("bucket").applyInArrow(merge, _COUNTS), "ngrams")
-    # One more for the words that are in no document.
-    release(marked.sparkSession)
-    return Whole(counts, buckets, size + 1, (t, b), heavy, heavy_counts)
+
+class Sent:
+    """The tokens of a bucket, as they were sent: pairs and words of all chunks one after the other."""
+
+    def __init__(self, sent: pa.Table) -> None:
+        column = lambda name: (x for part in sent.column(name).chunks for x in part.to_pylist())
+        self.chunk = list(column("chunk"))
+        pairs, words, pairs_of = [np.frombuffer(x, np.uint64) for x in column("a")], [np.frombuffer(x, np.uint64) for x in column("b")], [_unpack(x, np.uint32) for x in column("pairs")]
+        self.many, self.place = [_unpack(x, np.uint32) for x in column("n")], list(column("place"))
+        self.pair, self.word, self.pairs_of = _joined(pairs, np.uint64), _joined(words, np.uint64), _joined(pairs_of, np.uint32)
+        self.ends = np.cumsum([len(x) for x in pairs])
+
+    @cached_property
+    def tokens(self) -> np.ndarray:
+        """Marked and all tokens of every pair."""
+        marked = [np.add.reduceat(_unpack(x, np.uint16) >> 1 & 1, np.cumsum(n, dtype=np.int64) - n, dtype=np.int64) for x, n in zip(self.place, self.many, strict=True)]
+        return np.stack([_joined(marked, np.int64), _joined(self.many, np.int64)], axis=1)
+
+    def pair_counts(self) -> np.ndarray:
+        """Of every pair sent, how often it is in all chunks, in marked texts and in all; a first word makes no pair."""
+        n = self.tokens.copy()
+        n[self.pair == _pairs(np.zeros(1, np.uint64), np.repeat(self.word, self.pairs_of))] = 0
+        return self._over(self.pair, n)
+
+    def word_counts(self) -> np.ndarray:
+        starts = np.cumsum(self.pairs_of, dtype=np.int64) - self.pairs_of
+        return self._over(self.word, np.add.reduceat(self.tokens, starts, axis=0) if len(starts) else np.zeros((0, 2)))
+
+    @staticmethod
+    def _over(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
+        order = np.argsort(keys)
+        starts = _starts(keys[order])
+        at = np.empty(len(keys), np.int64)
+        at[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(keys)]))
+        return np.stack([np.bincount(at, weights=n[:, m], minlength=len(starts)) for m in (0, 1)], axis=1)[at]
 
 
 def _score_whole(docs: DataFrame, model: Whole, text_col: str, carry: list[str] | None) -> DataFrame:
     new = {n for n, _ in FIELDS}
     keep = [c for c in (docs.columns if carry is None else carry) if c.lower() not in new]
     text = F.col(f"`{text_col}`").cast("string")
-    # Equal texts have equal scores: sums are brought back by 128 bits of the text's hash.
-    keys = [F.xxhash64(text).alias("__k0"), F.xxhash64(F.lit("lm"), text).alias("__k1")]
-    heavy, heavy_counts, buckets, scale, total, size = model.heavy, model.heavy_counts, model.buckets, model.scale, model.total, model.size
-    plain = docs.select(text.alias("text"), *keys).where("text is not null")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, base = Memo(_hash, 150_000), TaskContext.get().partitionId() << 32
-        for number, batch in enumerate(_chunks(batches)):
-            tokens = Tokens(texts(batch, "text"), memo)
-            bucket = tokens.bucket(heavy, buckets)
-            place = (tokens.row * 2 + tokens.last).astype(np.uint16)
-            order = np.lexsort((tokens.pair, tokens.word, bucket))
-            # A row of its own, in no bucket, has the documents of the chunk.
-            docs = [batch.column(i).to_numpy().tobytes() for i in (1, 2)]
-            rows = [[-1 - base - number, base + number, docs[0], docs[1], _pack(tokens.sizes), b"", b""]]
-            for k, part in _cut(bucket[order]):
-                own = order[part]
-                pair, word = tokens.pair[own], tokens.word[own]
-                starts = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (word[1:] != word[:-1])])
-                many, word = np.diff(np.r_[starts, len(own)]).astype(np.uint32), word[starts]
-                heads = np.flatnonzero(np.r_[True, word[1:] != word[:-1]])
-                pairs_of = np.diff(np.r_[heads, len(word)]).astype(np.uint32)
-                rows.append([k, base + number, pair[starts].tobytes(), word[heads].tobytes(), _pack(many), _pack(pairs_of), _pack(place[own])])
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64() if i < 2 else pa.binary()) for i, x in enumerate(zip(*rows, strict=True))], names=["bucket", "chunk", "a", "b", "n", "pairs", "place"])
-        memo.clear()
-        give_back()
-
-    def look(asked: pa.Table, counts: pa.Table) -> pa.Table:
-        pairs, words = (_joined(counts, n, np.uint64) for n in ("pair", "word"))
-        pair_counts, word_counts = (np.stack([_joined(counts, n, np.int64) for n in names], axis=1) * scale for names in (("pt", "pb"), ("wt", "wb")))
+    keys = _text_keys(text)
+    heavy, heavy_counts, scale, total, size = model.heavy, model.heavy_counts, model.scale, model.total, model.size
+    # The model's own documents are counted where they are scored.
+    own = docs is model.docs and text_col == model.text_col
+    plain = model.marked if own else docs.select(text.alias("text"), *keys, F.lit(0).alias("marked"))
+    plain = plain.where("text is not null")
+
+    def answer(sent: pa.Table, counts: pa.Table | None) -> pa.Table:
+        if sent.num_rows and sent.column("bucket")[0].as_py() < 0:
+            return pa.Table.from_batches([_as_batch([[r["chunk"], r["a"], r["b"], r["n"], b""] for r in sent.to_pylist()], _SUMS)])
+        got = Sent(sent)
+        if counts is None:
+            seen, single = got.pair_counts(), got.word_counts()
+        else:
+            stored = {n: _joined([np.frombuffer(x, np.uint64) if n in ("pair", "word") else _unpack(x, np.int64) for x in counts.column(n).to_pylist()], np.uint64 if n in ("pair", "word") else np.int64) for n in counts.column_names if n != "bucket"}
+            seen, single = np.zeros((len(got.pair), 2)), np.zeros((len(got.word), 2))
+            for into, wanted, names in ((seen, got.pair, ("pair", "pt", "pb")), (single, got.word, ("word", "wt", "wb"))):
+                at, there = _among(stored[names[0]], wanted)
+                into[there] = np.stack([stored[n][at[there]] for n in names[1:]], axis=1)
+        at, there = _among(heavy, got.word)
+        single[there] = heavy_counts[at[there]]
+        seen, single = seen * scale, single * scale
+        ends = -np.log(seen + np.repeat(PRIOR * (single + EVEN) / (total + EVEN * size), got.pairs_of, axis=0))
+        # What a word adds as the one before another.
+        begins = np.repeat(np.log(single + PRIOR), got.pairs_of, axis=0)
         out: list[list] = []
-        for row in (x for part in asked.to_batches(16) for x in part.to_pylist()):
-            if row["bucket"] < 0:
-                out.append([row["chunk"], row["a"], row["b"], row["n"], b""])
-                continue
-            pair, word = np.frombuffer(row["a"], np.uint64), np.repeat(np.frombuffer(row["b"], np.uint64), _unpack(row["pairs"], np.uint32))
-            many, place = _unpack(row["n"], np.uint32), _unpack(row["place"], np.uint16).astype(np.int64)
-            single, seen = np.zeros((len(word), 2)), np.zeros((len(pair), 2))
-            for into, keys, found, wanted in ((single, words, word_counts, word), (single, heavy, heavy_counts * scale, word), (seen, pairs, pair_counts, pair)):
-                at, there = _among(keys, wanted)
-                into[there] = found[at[there]]
-            ends = np.repeat(-np.log(seen + PRIOR * (single + EVEN) / (total + EVEN * size)), many, axis=0)
-            # What a word adds as the one before another.
-            begins = np.repeat(np.log(single + PRIOR), many, axis=0) * (place & 1 == 0)[:, None]
-            sums = np.stack([np.bincount(place >> 1, weights=(ends + begins)[:, m]) for m in (0, 1)], axis=1)
-            rows = np.flatnonzero(np.bincount(place >> 1))
-            out.append([row["chunk"], None, None, rows.astype(np.uint16).tobytes(), sums[rows].tobytes()])
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        for chunk, many, packed, end in zip(got.chunk, got.many, got.place, got.ends.tolist(), strict=True):
+            place, part = _unpack(packed, np.uint16), slice(end - len(many), end)
+            row, inner = place >> 2, place & 1 == 0
+            sums = np.stack([np.bincount(row, weights=np.repeat(ends[part, m], many) + np.repeat(begins[part, m], many) * inner) for m in (0, 1)], axis=1)
+            rows = np.flatnonzero(np.bincount(row))
+            out.append([chunk, None, None, rows.astype(np.uint16).tobytes(), sums[rows].tobytes()])
+        del got, seen, single, ends, begins
         give_back()
-        return pa.Table.from_arrays([pa.array(x, pa.int64() if not i else pa.binary()) for i, x in enumerate(columns)], names=["chunk", "a", "b", "n", "sums"])
-
-    def gather(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        head = next(r for r in rows if r["a"] is not None)
-        n = _unpack(head["n"], np.int64)
-        # The first word has none before it.
-        loss = np.repeat(np.where(n > 0, np.log(PRIOR), 0.0)[:, None], 2, axis=1)
-        # In a fixed order, so that sums do not depend on the shuffle.
-        for r in sorted((r for r in rows if r["a"] is None), key=lambda r: (r["n"], r["sums"])):
-            loss[np.frombuffer(r["n"], np.uint16)] += np.frombuffer(r["sums"], np.float64).reshape(-1, 2)
-        return pa.Table.from_arrays([pa.array(x) for x in (np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int64), n, loss[:, 0].copy(), loss[:, 1].copy())], names=["__k0", "__k1", "n", "t", "b"])
-
-    small_batches(docs.sparkSession)
-    asked = plain.mapInArrow(run, "bucket long, chunk long, a binary, b binary, n binary, pairs binary, place binary")
-    sums = asked.groupBy("bucket").cogroup(model.counts.groupBy("bucket")).applyInArrow(look, "chunk long, a binary, b binary, n binary, sums binary")
-    losses = sums.groupBy("chunk").applyInArrow(gather, "__k0 long, __k1 long, n long, t double, b double")
-    means = losses.groupBy("__k0", "__k1").agg((F.sum("n") / F.count("*")).cast("long").alias("__n"), (F.sum("t") / F.greatest(F.sum("n"), F.lit(1))).alias("__t"), (F.sum("b") / F.greatest(F.sum("n"), F.lit(1))).alias("__b"))
+        return pa.Table.from_batches([_as_batch(out, _SUMS)])
+
+    def gather_part(first: bool):
+        def gather(table: pa.Table) -> pa.Table:
+            rows = table.to_pylist()
+            head = next(r for r in rows if r["a"] is not None)
+            n = _unpack(head["n"], np.int64)
+            # The first word has none before it.
+            loss = np.repeat(np.where(n > 0, np.log(PRIOR) * first, 0.0)[:, None], 2, axis=1)
+            # In a fixed order, so that sums do not depend on the shuffle.
+            for r in sorted((r for r in rows if r["a"] is None), key=lambda r: (r["n"], r["sums"])):
+                loss[np.frombuffer(r["n"], np.uint16)] += np.frombuffer(r["sums"], np.float64).reshape(-1, 2)
+            return pa.Table.from_arrays([pa.array(x) for x in (np.frombuffer(head["a"], np.int64), np.frombuffer(head["b"], np.int64), n, loss[:, 0].copy(), loss[:, 1].copy())], names=["__k0", "__k1", "n", "t", "b"])
+
+        return gather
+
+    spark = docs.sparkSession
+    small_batches(spark)
+    # Parts of the buckets one after the other: what a part sends is deleted before the next one, but for the documents' sums.
+    parts = min(PARTS, -(-model.buckets // PART_BUCKETS))
+    losses: list[DataFrame] = []
+    for part in range(parts):
+        asked = _send(plain, model, part, parts).groupBy("bucket")
+        if own:
+            sums = asked.applyInArrow(lambda sent: answer(sent, None), _SUMS)
+        else:
+            sums = asked.cogroup(model.counts.where(F.col("bucket") % parts == part).groupBy("bucket")).applyInArrow(answer, _SUMS)
+        found = sums.groupBy("chunk").applyInArrow(gather_part(part == 0), "__k0 long, __k1 long, n long, t double, b double")
+        if parts > 1:
+            found = stash(found, "losses")
+            release(spark)
+        losses.append(found.withColumn("part", F.lit(part)))
+    every = reduce(DataFrame.unionByName, losses)
+    # Equal texts have equal losses.
+    mean = lambda c: sum((F.max(F.when(F.col("part") == k, F.col(c))) for k in range(1, parts)), F.max(F.when(F.col("part") == 0, F.col(c)))) / F.greatest(F.max("n"), F.lit(1))
+    means = every.groupBy("__k0", "__k1").agg(F.max("n").alias("__n"), mean("t").alias("__t"), mean("b").alias("__b"))
     kept = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(keep)], *keys)
     zero = lambda c, v: F.coalesce(c, F.lit(v))
     return kept.join(means, ["__k0", "__k1"], "left").select(
@@ -304,6 +386,11 @@ def _score_whole(docs: DataFrame, model: Whole, text_col: str, carry: list[str]
     )
 
 
+def _text_keys(text: Column) -> list[Column]:
+    """Equal texts have equal scores: sums are brought back by 128 bits of the text's hash."""
+    return [F.xxhash64(text).alias("__k0"), F.xxhash64(F.lit("lm"), text).alias("__k1")]
+
+
 class Pair:
     """Two matched bigram models over one vocabulary."""
 
@@ -332,10 +419,10 @@ def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: st
     """Counts all documents, and those with an id in ``wanted`` apart; whole, unless ``vocabulary`` or ``pairs`` bounds the model."""
     spark = docs.sparkSession
     marks = bounded(wanted.select(F.col(id_col).alias("__id")).where("__id is not null").distinct().withColumn("marked", F.lit(1)), BROADCAST_MARKS)
-    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(marks, "__id", "left").select("text", F.coalesce("marked", F.lit(0)).alias("marked"))
+    marked = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("string").alias("text")).join(marks, "__id", "left").select("text", *_text_keys(F.col("text")), F.coalesce("marked", F.lit(0)).alias("marked"))
     if vocabulary is None and pairs is None:
         small_batches(spark)
-        return _fit_whole(marked)
+        return _fit_whole(docs, text_col, marked)
     vocabulary, pairs = VOCABULARY if vocabulary is None else vocabulary, PAIRS if pairs is None else pairs
     plain = docs.select(F.col(text_col).cast("string").alias("text"))
     words = plain.mapInArrow(_count_words, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -358,7 +445,7 @@ def fit(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: st
             both, n = np.unique(key * 2 + mark, return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(both >> 1), pa.array(np.where(both & 1, n, 0)), pa.array(n.astype(np.int64))], names=["key", "target", "background"])
 
-    counts = marked.mapInArrow(run, "key long, target long, background long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
+    counts = marked.select("text", "marked").mapInArrow(run, "key long, target long, background long").groupBy("key").agg(F.sum("target").alias("target"), F.sum("background").alias("background"))
     counts = stash(counts, "ngrams")
     # The least count that leaves at most `pairs` pairs, from the number of pairs by count.
     least, left = 1, pairs

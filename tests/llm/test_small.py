@@ -575,3 +575,43 @@ def test_lm_buckets(spark, monkeypatch, words, heavy):
     assert whole.keys() == bound.keys()
     for i, r in bound.items():
         assert whole[i].n_tokens == r.n_tokens and [whole[i].target_loss, whole[i].background_loss] == pytest.approx([r.target_loss, r.background_loss], rel=1e-5)
+
+
+@pytest.mark.parametrize("heavy", [20_000, 1, 4])
+def test_lm_parts_and_other_documents(spark, monkeypatch, heavy):
+    """Documents get the scores of a bounded model that has all words, whether in one part or several, counted where they are scored or by the stored counts."""
+    rnd = random.Random(13)
+    rows = [(i, " ".join(rnd.choice("abcdefgh") * rnd.randint(1, 2) for _ in range(rnd.randint(0, 30)))) for i in range(60)] + [(60, None), (61, "a b c"), (61, "a b c")]
+    df, wanted = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i,) for i in range(0, 62, 4)], "doc_id long")
+    other = spark.createDataFrame([*rows, (70, "new words a b"), (71, "a a a")], "doc_id long, text string")
+    bound = lmscore.fit(df, wanted, vocabulary=1000, pairs=1000)
+    want = {(r.doc_id, r.text): r for r in lmscore.score(other, bound).collect()}
+    monkeypatch.setattr(lmscore, "BUCKET_WORDS", 50)
+    monkeypatch.setattr(lmscore, "HEAVY", heavy)
+    for most in (1, 1000):
+        monkeypatch.setattr(lmscore, "PART_BUCKETS", most)
+        model = lmscore.fit(df, wanted)
+        for docs in (df, other):
+            got = lmscore.score(docs, model).collect()
+            assert len(got) == docs.count()
+            for r in got:
+                w = want[r.doc_id, r.text]
+                assert r.n_tokens == w.n_tokens and [r.target_loss, r.background_loss] == pytest.approx([w.target_loss, w.background_loss], rel=1e-5)
+
+
+def test_lm_sends_tokens_once(spark):
+    """The bytes that are shuffled for documents scored by their own model: those of pairs once."""
+    rnd = np.random.default_rng(14)
+    rows = [(i, " ".join(f"w{k}" for k in rnd.integers(0, 30_000, 2000))) for i in range(400)]
+    df, wanted = spark.createDataFrame(rows, "doc_id long, text string").repartition(2).localCheckpoint(), spark.createDataFrame([(i,) for i in range(0, 400, 4)], "doc_id long")
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def stages():
+        found = store.stageList(None, False, False, getattr(store, "stageList$default$4")(), getattr(store, "stageList$default$5")())
+        return {found.apply(i).stageId(): found.apply(i) for i in range(found.size())}
+
+    before = stages()
+    assert len(lmscore.score(df, lmscore.fit(df, wanted)).collect()) == 400
+    new = [s for k, s in stages().items() if k not in before]
+    # 800,000 pairs, hardly any of them twice, and 30,000 words.
+    assert sum(s.shuffleWriteBytes() for s in new) < 800_000 * 20

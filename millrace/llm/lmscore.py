@@ -44,8 +44,8 @@ PAIRS = 2_000_000
 HEAVY = 20_000
 #: Words counted for each bucket; bytes and rows of text that are worked on at once (a row's number has 14 bits). A chunk
 #: has a row for each bucket, so both are large: rows grow with the square of the input.
-BUCKET_WORDS = 3_000_000
-CHUNK_BYTES, CHUNK_ROWS = 12 << 20, 16_000
+BUCKET_WORDS = 2_000_000
+CHUNK_BYTES, CHUNK_ROWS = 8 << 20, 16_000
 #: Buckets up to which all are worked on at once; parts in which more are worked on, at most.
 PART_BUCKETS, PARTS = 128, 3
 #: Words of which a task remembers the hashes.
@@ -181,11 +181,11 @@ class Whole:
                     return pa.Table.from_batches([_as_batch([], _COUNTS)])
                 own = Sent(sent)
                 row = [bucket]
-                for keys, counts in ((own.pair, own.pair_counts()), (own.word, own.word_counts())):
+                for keys, counts in ((own.pair, own.pair_counts), (own.word, own.word_counts)):
                     order = np.argsort(keys, kind="stable")
                     first = order[_starts(keys[order])]
-                    first = first[counts[first, 1] > 0]
-                    row += [keys[first].tobytes(), *(_pack(counts[first, m].astype(np.int64)) for m in (0, 1))]
+                    first = first[counts(1)[first] > 0]
+                    row += [keys[first].tobytes(), *(_pack(counts(m)[first].astype(np.int64)) for m in (0, 1))]
                 give_back()
                 return pa.Table.from_batches([_as_batch([row], _COUNTS)])
 
@@ -232,21 +232,22 @@ def _send(plain: DataFrame, model: Whole, part: int, parts: int) -> DataFrame:
             # A row of its own, in no bucket, has the documents of the chunk.
             keys = [batch.column(i).to_numpy().tobytes() for i in (1, 2)]
             rows = [[-1 - base - number, base + number, *keys, _pack(tokens.sizes), b"", b""]]
-            ids, sizes, words = tokens.ids.astype(np.int64), tokens.sizes[tokens.sizes > 0], tokens.words
+            ids, sizes, words = tokens.ids, tokens.sizes[tokens.sizes > 0], tokens.words
             ends = np.cumsum(sizes)
             # Number 0 is none before it.
-            before = np.r_[np.zeros(min(1, len(ids)), np.int64), ids[:-1] + 1]
+            before = np.r_[np.zeros(min(1, len(ids)), np.int32), ids[:-1] + 1]
             before[ends - sizes] = 0
             hashes = np.r_[np.zeros(1, np.uint64), words]
-            bucket = ((words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)[ids]
+            bucket = ((words >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)[ids]
             by_pair = np.flatnonzero(_among(heavy, words)[1][ids])
             bucket[by_pair] = (_pairs(hashes[before[by_pair]], words[ids[by_pair]]) >> np.uint64(20)) % np.uint64(buckets)
             place = tokens.row.astype(np.uint16) * np.uint16(4) + batch.column("marked").to_numpy().astype(np.uint16)[tokens.row] * np.uint16(2)
             place[ends - 1] += 1
+            del tokens
             mine = np.flatnonzero(bucket % parts == part) if parts > 1 else slice(None)
             bucket, ids, before, place = bucket[mine], ids[mine], before[mine], place[mine]
             if len(words) < 1 << 24 and buckets < 1 << 15:
-                order = np.argsort(bucket << 48 | ids << 24 | before)
+                order = np.argsort((bucket.astype(np.int64) << 24 | ids) << 24 | before)
             else:
                 order = np.lexsort((before, ids, bucket))
             bucket, ids, before, place = bucket[order], ids[order], before[order], place[order]
@@ -260,7 +261,7 @@ def _send(plain: DataFrame, model: Whole, part: int, parts: int) -> DataFrame:
             cuts = np.stack([np.r_[edges, len(ids)], np.searchsorted(starts, np.r_[edges, len(ids)]), np.searchsorted(starts[heads], np.r_[edges, len(ids)])], axis=1)
             for k, (i, p, w), (j, q, v) in zip(bucket[edges].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
                 rows.append([k, base + number, pair[p:q].tobytes(), word[w:v].tobytes(), _pack(many[p:q]), _pack(pairs_of[w:v]), _pack(place[i:j])])
-            del tokens, ids, before, bucket, order, place, pair, starts, many
+            del ids, before, bucket, order, place, pair, starts, many
             yield _as_batch(rows, _SENT)
         memo.clear()
         give_back()
@@ -280,28 +281,41 @@ class Sent:
         self.ends = np.cumsum([len(x) for x in pairs])
 
     @cached_property
-    def tokens(self) -> np.ndarray:
+    def tokens(self) -> tuple[np.ndarray, np.ndarray]:
         """Marked and all tokens of every pair."""
-        marked = [np.add.reduceat(_unpack(x, np.uint16) >> 1 & 1, np.cumsum(n, dtype=np.int64) - n, dtype=np.int64) for x, n in zip(self.place, self.many, strict=True)]
-        return np.stack([_joined(marked, np.int64), _joined(self.many, np.int64)], axis=1)
+        marked = [np.add.reduceat(_unpack(x, np.uint16) >> 1 & 1, np.cumsum(n, dtype=np.int64) - n, dtype=np.int32) for x, n in zip(self.place, self.many, strict=True)]
+        return _joined(marked, np.int32), _joined(self.many, np.uint32)
 
-    def pair_counts(self) -> np.ndarray:
-        """Of every pair sent, how often it is in all chunks, in marked texts and in all; a first word makes no pair."""
-        n = self.tokens.copy()
-        n[self.pair == _pairs(np.zeros(1, np.uint64), np.repeat(self.word, self.pairs_of))] = 0
-        return self._over(self.pair, n)
+    @cached_property
+    def _same_pair(self) -> np.ndarray:
+        return _numbered(self.pair)
+
+    @cached_property
+    def _same_word(self) -> np.ndarray:
+        return _numbered(self.word)
+
+    @cached_property
+    def inner(self) -> np.ndarray:
+        """A first word makes no pair."""
+        return self.pair != _pairs(np.zeros(1, np.uint64), np.repeat(self.word, self.pairs_of))
+
+    def pair_counts(self, m: int) -> np.ndarray:
+        """Of every pair sent, how often it is in all chunks, in marked texts (0) or in all (1)."""
+        return np.bincount(self._same_pair, weights=self.tokens[m] * self.inner)[self._same_pair]
 
-    def word_counts(self) -> np.ndarray:
+    def word_counts(self, m: int) -> np.ndarray:
         starts = np.cumsum(self.pairs_of, dtype=np.int64) - self.pairs_of
-        return self._over(self.word, np.add.reduceat(self.tokens, starts, axis=0) if len(starts) else np.zeros((0, 2)))
+        n = np.add.reduceat(self.tokens[m], starts, dtype=np.int64) if len(starts) else starts
+        return np.bincount(self._same_word, weights=n)[self._same_word]
 
-    @staticmethod
-    def _over(keys: np.ndarray, n: np.ndarray) -> np.ndarray:
-        order = np.argsort(keys)
-        starts = _starts(keys[order])
-        at = np.empty(len(keys), np.int64)
-        at[order] = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(keys)]))
-        return np.stack([np.bincount(at, weights=n[:, m], minlength=len(starts)) for m in (0, 1)], axis=1)[at]
+
+def _numbered(keys: np.ndarray) -> np.ndarray:
+    """A number for every key, the same for equal ones."""
+    order = np.argsort(keys)
+    starts = _starts(keys[order])
+    at = np.empty(len(keys), np.int32)
+    at[order] = np.repeat(np.arange(len(starts), dtype=np.int32), np.diff(np.r_[starts, len(keys)]))
+    return at
 
 
 def _score_whole(docs: DataFrame, model: Whole, text_col: str, carry: list[str] | None) -> DataFrame:
@@ -319,28 +333,38 @@ def _score_whole(docs: DataFrame, model: Whole, text_col: str, carry: list[str]
         if sent.num_rows and sent.column("bucket")[0].as_py() < 0:
             return pa.Table.from_batches([_as_batch([[r["chunk"], r["a"], r["b"], r["n"], b""] for r in sent.to_pylist()], _SUMS)])
         got = Sent(sent)
-        if counts is None:
-            seen, single = got.pair_counts(), got.word_counts()
-        else:
-            stored = {n: _joined([np.frombuffer(x, np.uint64) if n in ("pair", "word") else _unpack(x, np.int64) for x in counts.column(n).to_pylist()], np.uint64 if n in ("pair", "word") else np.int64) for n in counts.column_names if n != "bucket"}
-            seen, single = np.zeros((len(got.pair), 2)), np.zeros((len(got.word), 2))
-            for into, wanted, names in ((seen, got.pair, ("pair", "pt", "pb")), (single, got.word, ("word", "wt", "wb"))):
-                at, there = _among(stored[names[0]], wanted)
-                into[there] = np.stack([stored[n][at[there]] for n in names[1:]], axis=1)
-        at, there = _among(heavy, got.word)
-        single[there] = heavy_counts[at[there]]
-        seen, single = seen * scale, single * scale
-        ends = -np.log(seen + np.repeat(PRIOR * (single + EVEN) / (total + EVEN * size), got.pairs_of, axis=0))
-        # What a word adds as the one before another.
-        begins = np.repeat(np.log(single + PRIOR), got.pairs_of, axis=0)
+        in_heavy, is_heavy = _among(heavy, got.word)
+        found = {}
+        for keys, wanted in (("pair", got.pair), ("word", got.word)) if counts is not None else ():
+            found[keys] = _among(_joined([np.frombuffer(x, np.uint64) for x in counts.column(keys).to_pylist()], np.uint64), wanted)
+
+        def stored(keys: str, name: str) -> np.ndarray:
+            (at, there), values = found[keys], _joined([_unpack(x, np.int64) for x in counts.column(name).to_pylist()], np.int64)
+            out = np.zeros(len(at))
+            out[there] = values[at[there]]
+            return out
+
+        sums: list[list[np.ndarray]] = []
+        # One model after the other, to hold less at once.
+        for m in (0, 1):
+            single = got.word_counts(m) if counts is None else stored("word", ("wt", "wb")[m])
+            single[is_heavy] = heavy_counts[in_heavy[is_heavy], m]
+            single *= scale[m]
+            ends = got.pair_counts(m) if counts is None else stored("pair", ("pt", "pb")[m])
+            ends *= scale[m]
+            ends += np.repeat(PRIOR * (single + EVEN) / (total[m] + EVEN * size), got.pairs_of)
+            np.negative(np.log(ends, out=ends), out=ends)
+            # What a word adds as the one before another.
+            begins = np.repeat(np.log(single + PRIOR), got.pairs_of)
+            sums.append([])
+            for many, packed, end in zip(got.many, got.place, got.ends.tolist(), strict=True):
+                place, part = _unpack(packed, np.uint16), slice(end - len(many), end)
+                sums[m].append(np.bincount(place >> 2, weights=np.repeat(ends[part], many) + np.repeat(begins[part], many) * (place & 1 == 0)))
         out: list[list] = []
-        for chunk, many, packed, end in zip(got.chunk, got.many, got.place, got.ends.tolist(), strict=True):
-            place, part = _unpack(packed, np.uint16), slice(end - len(many), end)
-            row, inner = place >> 2, place & 1 == 0
-            sums = np.stack([np.bincount(row, weights=np.repeat(ends[part, m], many) + np.repeat(begins[part, m], many) * inner) for m in (0, 1)], axis=1)
-            rows = np.flatnonzero(np.bincount(row))
-            out.append([chunk, None, None, rows.astype(np.uint16).tobytes(), sums[rows].tobytes()])
-        del got, seen, single, ends, begins
+        for chunk, packed, t, b in zip(got.chunk, got.place, *sums, strict=True):
+            rows = np.flatnonzero(np.bincount(_unpack(packed, np.uint16) >> 2))
+            out.append([chunk, None, None, rows.astype(np.uint16).tobytes(), np.stack([t[rows], b[rows]], axis=1).tobytes()])
+        del got, single, ends, begins, sums
         give_back()
         return pa.Table.from_batches([_as_batch(out, _SUMS)])
 

@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -615,3 +616,11 @@ def test_lm_sends_tokens_once(spark):
     new = [s for k, s in stages().items() if k not in before]
     # 800,000 pairs, hardly any of them twice, and 30,000 words.
     assert sum(s.shuffleWriteBytes() for s in new) < 800_000 * 20
+
+
+def test_lm_rows_of_large_inputs():
+    """A chunk has a row for each bucket: over 30 GB, 8,000,000,000 words, a row still has some hundred words."""
+    rnd = np.random.default_rng(15)
+    batches = (pa.RecordBatch.from_pydict({"text": [" ".join(f"w{k}" for k in rnd.integers(0, 30_000, 2000)) for _ in range(100)]}) for _ in range(12))
+    chunk = max(sum(len(lmscore.alnum_words(x)) for x in lmscore.texts(b, "text")) for b in lmscore._chunks(batches))
+    assert chunk * lmscore.BUCKET_WORDS / 8_000_000_000 > 200
